@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filters
+from . import pii, simhash, substrings, url_filters
 from .common import prepare
 
 
@@ -19,7 +19,7 @@ def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _ready(f) for f in (url_filters.op5_url_filters,)}
+    return {f.__name__: _ready(f) for f in (simhash.op4_simhash, url_filters.op5_url_filters, pii.op7_pii, substrings.op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
