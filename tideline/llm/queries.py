@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, simhash, substrings, url_filters
+from . import ann, packing, pii, simhash, substrings, tiling, token_counts, toxicity, url_filters, warc
 from .common import prepare
 
 
+OPERATORS = (
+    tiling.op1_decontamination,
+    ann.op2_ann,
+    packing.op3_best_fit_packing,
+    simhash.op4_simhash,
+    url_filters.op5_url_filters,
+    toxicity.op6_toxicity,
+    pii.op7_pii,
+    warc.op8_warc,
+    substrings.op9_substring_dedup,
+    token_counts.op10_token_counts,
+)
+
+
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -19,8 +33,8 @@ def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _ready(f) for f in (simhash.op4_simhash, url_filters.op5_url_filters, pii.op7_pii, substrings.op9_substring_dedup)}
+    return {f.__name__: _ready(f) for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.oracle()}
+    return {"op5_url_filters": url_filters.oracle(), "op8_warc": warc.ORACLE}
