@@ -71,12 +71,15 @@ def main(args: list[str]) -> None:
     spark, queries, sql = session(), entry.queries(), entry.oracle_sql()
     for name in names or queries:
         began = time.time()
-        if name in sql:
-            bad = compare(spark, f"/root/testdata/{sf}", queries[name], sql[name])
-            print(name, "DIFFERS " + bad if bad else "same", f"{time.time() - began:.1f} s", flush=True)
-        else:
-            n = queries[name](spark, f"/root/testdata/{sf}").count()
-            print(name, n, "rows, no SQL", f"{time.time() - began:.1f} s", flush=True)
+        try:
+            if name in sql:
+                bad = compare(spark, f"/root/testdata/{sf}", queries[name], sql[name])
+                said = "DIFFERS " + bad if bad else "same"
+            else:
+                said = f"{queries[name](spark, f'/root/testdata/{sf}').count()} rows, no SQL"
+        except Exception as e:  # noqa: BLE001  the next query is still of interest
+            said = f"FAILED {str(e)[:400]}"
+        print(name, said, f"{time.time() - began:.1f} s", flush=True)
 
 
 if __name__ == "__main__":

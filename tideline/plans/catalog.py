@@ -1,15 +1,13 @@
-"""All queries of the reference's own operators, and their SQL."""
+"""All queries of the analytics, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import base, features, models, relational  # noqa: F401  they list their queries
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
