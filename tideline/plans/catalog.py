@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, features, models, relational  # noqa: F401  they list their queries
+from . import base, features, models, relational, scalars  # noqa: F401  they list their queries
 
 
 def queries() -> dict[str, base.Query]:
