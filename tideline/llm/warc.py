@@ -294,7 +294,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, range_bytes: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     places = ranges(manifest, range_bytes)
-    return places.repartition(F.xxhash64("archive", "at")).mapInArrow(run, RECORDS)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(tasks, "archive", "at").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
