@@ -101,7 +101,6 @@ def test_archives(spark):
     with store.open_input_file(path) as f:
         z = zipfile.ZipFile(io.BytesIO(f.read()))
     assert z.testzip() is None and gzip.decompress(z.read(warc.DATA)).startswith(b"WARC/1.1\r\n")
-    assert not [x.path for x in store.get_file_info(fs.FileSelector(path.rsplit("/", 1)[0])) if x.path.endswith(".tmp")]
 
 
 def test_table(spark):

@@ -10,9 +10,10 @@ ZIP64 form), the directory, and the members' local headers; reads the index by i
 range; and every task then reads runs of neighbouring records by their ranges.
 
 Files go to a folder of the storage that the cluster shares, by pyarrow's file
-systems, so a URI of any store that they open will do. A task writes under a name of
-its own and renames when it is done, so a task that is run again or twice leaves one
-archive; which archives count is what the written manifest says.
+systems, so a URI of any store that they open will do. Every attempt of a task writes
+archives under names of its own, and which archives count is what the manifest says,
+of which Spark keeps one attempt's rows; so a task may fail or run twice, and stores
+without renaming will do.
 
 Defined cases: a null payload is empty; a null URL writes no target header; of equal
 payloads (by SHA-1 and length) of at least ``least_bytes`` bytes the rows with the
@@ -213,6 +214,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         part, attempt, serial = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         out, index, done = None, [], []
 
+        def name() -> str:
+            return f"part-{part:06d}-{attempt}-{serial:04d}.zip"
+
         def close() -> None:
             nonlocal out, index, serial
             out.end()
@@ -220,15 +224,13 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             out.add("".join(f"{a} {n}\n" for a, n in index).encode())
             out.end()
             out.close()
-            name = f"part-{part:06d}-{serial:04d}.zip"
-            store.move(f"{root}/{attempt}-{serial}.tmp", f"{root}/{name}")
-            done.append((f"{folder}/{name}", len(index)))
+            done.append((f"{folder}/{name()}", len(index)))
             out, index, serial = None, [], serial + 1
 
         for b in slices(batches, "payload"):
             for page, url, payload, digest, refers_to in zip(*[b.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "refers_to")], strict=True):
                 if out is None:
-                    out = ZipWriter(store.open_output_stream(f"{root}/{attempt}-{serial}.tmp"))
+                    out = ZipWriter(store.open_output_stream(f"{root}/{name()}"))
                     out.begin(DATA)
                 kind = "response" if refers_to is None else "revisit"
                 index.append(out.add(gzipped(warc_record(kind, page, url, payload, bytes.fromhex(digest), refers_to))))
