@@ -269,3 +269,15 @@ def test_stream_of_daily_bars(spark, tmp_path):
     got = {r.date: r.close for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.date: r.close for r in daily.daily_bars(df, ["k"], "ts", "value").collect()}
     assert got and all(want[d] == v for d, v in got.items())
+
+
+def test_sql_functions(spark):
+    from tideline.functions import udfs
+
+    udfs.register(spark)
+    r = spark.sql("SELECT student_p(2.228138852D, 10D) AS t, f_p(4.102821015D, 2D, 10D) AS f").first()
+    assert abs(r.t - 0.05) < 1e-8 and abs(r.f - 0.05) < 1e-8
+    rows = spark.sql("SELECT * FROM lag_spec('a,b', '0,12') ORDER BY name").collect()
+    assert [tuple(x) for x in rows] == [("a", 12, "a_lag12"), ("a", 0, "a_now"), ("b", 12, "b_lag12"), ("b", 0, "b_now")]
+    series(spark, [1, -1] * 10).coalesce(1).createOrReplaceTempView("wave")
+    assert abs(spark.sql("SELECT acf(v, 1) AS a FROM wave GROUP BY area").first().a + 1) < 1e-9

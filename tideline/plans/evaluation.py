@@ -73,7 +73,8 @@ def area_column(area: str, code: str) -> str:
 
 
 def load(spark: SparkSession, inputs: Inputs) -> Bundle:
-    """Read, clean and join the sources; nothing is computed yet but key checks."""
+    """Read, clean and join the sources; nothing is computed yet but key checks; the
+    monthly table is kept once it is."""
     registry = inputs.registry(spark)
     registry.require()
     raw = registry.read("daily")
@@ -88,7 +89,8 @@ def load(spark: SparkSession, inputs: Inputs) -> Bundle:
     named = abroad.select(X.month_start("date").alias("month"), F.concat(F.lower("area"), F.lit("_"), X.indicator_code("indicator", inputs.codes)).alias("label"), "value")
     parts.append(reshape.strict_pivot(named, ["month"], "label", "value", [area_column(a, c) for a in inputs.areas for c in inputs.codes]))
     base = calendar.left_join_all(calendar.months(spark, inputs.first, inputs.last), parts, ["month"])
-    monthly = base.withColumn(KEY, F.lit("all")).withColumn("target", F.col(f"code_{inputs.target_code}"))
+    # a row for each month, used by all that follows
+    monthly = base.withColumn(KEY, F.lit("all")).withColumn("target", F.col(f"code_{inputs.target_code}")).persist()
 
     rolled = [c for c in shipping.columns if c != "month"]
     own = f"code_{inputs.general_code}"
