@@ -12,8 +12,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words of which a worker keeps the ids, and at most as many word parts.
-KEPT_WORDS = 400_000
+#: Words of a generation of which a worker keeps the ids (two generations are kept).
+KEPT_WORDS = 300_000
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -23,48 +23,61 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Parts(dict):
-    """Ids of what the pattern cuts out of a lower-case word."""
+class Recent(dict):
+    """Looks up what was met lately: when a generation is full it becomes the old one,
+    and what is asked for again moves on to the new."""
 
-    def __init__(self, tokenizer) -> None:
-        self.encode = tokenizer.encode
+    def __init__(self, make, most: int = KEPT_WORDS) -> None:
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = ids
-        return ids
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
-class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of a UTF-8 word."""
+def byte_letters() -> dict[int, str]:
+    """How byte-level BPE spells bytes: printable ones as themselves, the others as the
+    letters from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordIds:
+    """Ids (little-endian unsigned 32-bit) of a UTF-8 word, and of texts."""
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode
-        self.parts = _Parts(tokenizer)
+        self._encode, self._merge = tokenizer.encode, tokenizer.model.tokenize
+        self._spelled = byte_letters()
+        self._parts = Recent(self._part)
+        self._words = Recent(self._word)
         #: How this tokenizer cuts text into words, as its file states it (a fixed value).
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self._cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
+    def _part(self, part: str) -> bytes:
+        """Ids of what the pattern cuts out of a lower-case word: its merges alone."""
+        return np.array([t.id for t in self._merge(part.encode().decode("latin-1").translate(self._spelled))], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if "<|" in text or not max(text, default="") < "ɐ":
+        if "<|" in text or not (text.isascii() or max(text) < "ɐ"):
             # special tokens, and letters of which forms and cases depend on more
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join(map(self.parts.__getitem__, self.cut(text.lower())))
-        self[word] = ids
-        return ids
+            return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._parts.__getitem__, self._cut(text.lower())))
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole text, four bytes each."""
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self._words.__getitem__, text.split()))
 
 
 @cache
