@@ -27,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table, texts
-from .tokens import tokenizer_path
+from .tokens import Recent, tokenizer_path
 
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
 #: How this tokenizer cuts text (a fixed value that belongs to its vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PARTS = 500_000
 
 
-class PartCounts(dict):
-    """Tokens of a pre-token, kept for those met before."""
+class PartCounts(Recent):
+    """Tokens of a pre-token, kept for those met lately."""
 
     def __init__(self, path: str) -> None:
         import regex
@@ -46,12 +45,7 @@ class PartCounts(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cut = regex.compile(PATTERN).findall
-
-    def __missing__(self, part: str) -> int:
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        n = self[part] = len(self.encode(part))
-        return n
+        super().__init__(lambda part: len(self.encode(part)))
 
 
 @cache
