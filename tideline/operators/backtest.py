@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import gru, metrics, samples, sarima
 from .features import by_month
 
-SARIMA, RECURRENT, NAIVE = "SARIMA", "NumPy GRU", "Seasonal naive"
+SARIMA, RECURRENT, NAIVE = "SARIMA", "GRU", "Seasonal naive"
 #: The naive forecast is a yardstick and cannot win; a tie goes to the first.
 ELIGIBLE = (SARIMA, RECURRENT)
 
