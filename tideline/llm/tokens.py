@@ -8,10 +8,9 @@ met in a table of bounded size.
 
 from __future__ import annotations
 
+import struct
 from functools import cache
 
-import numpy as np
-
 #: Words of a generation of which a worker keeps the ids (two generations are kept).
 KEPT_WORDS = 300_000
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +40,11 @@ class Recent(dict):
         return value
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> dict[int, str]:
     """How byte-level BPE spells bytes: printable ones as themselves, the others as the
     letters from U+0100 on, in order."""
@@ -66,14 +70,20 @@ class WordIds:
 
     def _part(self, part: str) -> bytes:
         """Ids of what the pattern cuts out of a lower-case word: its merges alone."""
-        return np.array([t.id for t in self._merge(part.encode().decode("latin-1").translate(self._spelled))], "<u4").tobytes()
+        spelled = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self._spelled)
+        return pack_ids([t.id for t in self._merge(spelled)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if "<|" in text or not (text.isascii() or max(text) < "ɐ"):
             # special tokens, and letters of which forms and cases depend on more
-            return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._parts.__getitem__, self._cut(text.lower())))
+            return pack_ids(self._encode(text, add_special_tokens=False).ids)
+        low = text.lower()
+        if low.isalpha():  # the pattern takes letters whole, and a sign after them
+            return self._parts[low]
+        if low[-1] in ",.;:!?" and low[:-1].isalpha():
+            return self._parts[low[:-1]] + self._parts[low[-1]]
+        return b"".join(map(self._parts.__getitem__, self._cut(low)))
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole text, four bytes each."""
