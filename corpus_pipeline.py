@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data,
 packing. Each stage takes (spark, docs, sf_dir), works on all that the one before it
 kept, and is written as Parquet and read again before the next. All stages but the
-last return the columns of ``documents``."""
+last return the columns of ``documents``, and any others that came with them.
+
+Defined cases: null and empty texts are not toxic, hold no benchmark item and no
+personal data; they have equal fingerprints, so one of them stays; a row without an id
+passes all filters on its own; rows that repeat an id fall together in the second
+stage; an empty table stays empty; texts of any length are worked on whole."""
 
 from __future__ import annotations
 

@@ -55,3 +55,40 @@ def test_stages_by_brute_force(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def odd_documents(spark):
+    rows = [
+        (1, "a plain text of some words", "en", "s", 26),
+        (1, "a plain text of some words", "en", "s", 26),
+        (2, None, None, None, None),
+        (3, "", "en", "s", 0),
+        (None, "mail me x@y.zz", "en", "s", 14),
+        (4, "long " * 200_000, "en", None, 1_000_000),
+        (5, "another text with a number 4111111111111111", "en", "s", 43),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", "1 AS id", "'a' AS fp", "2 AS component_id", "'b' AS score", "'c' AS item", "3 AS uid", "'d' AS spans", "'e' AS piece", "4 AS toxic")
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark)
+    columns = docs.columns
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, D))
+        counts.append(docs.count())
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+        if name == "pii":
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            assert texts[None] == "mail me <EMAIL>" and texts[5] == "another text with a number <CARD>" and texts.get(2) is None
+    # the copy goes, and of the two texts without words one stays
+    assert counts[:4] == [7, 5, 5, 5] and counts[4] > 5
+
+
+def test_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, D))
+        assert docs.count() == 0
