@@ -74,11 +74,14 @@ def test_rows(spark):
 
 
 def test_held_out_accuracy(spark):
-    """English only: in this table other languages' labels have no words to tell by."""
+    """In this table toxic texts of languages other than English go by word parts that
+    some clean texts have too."""
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in tx.op6_toxicity(spark, d).collect() if r.held_out and r.doc_id in labels]
-    clean = [r.predicted for r in rows if not labels[r.doc_id]]
-    bad = [r.predicted for r in rows if labels[r.doc_id] and lang[r.doc_id] == "en"]
-    assert sum(clean) / len(clean) < 0.02 and sum(bad) / len(bad) > 0.9
+    share = lambda found: sum(found) / len(found)
+    assert share([r.predicted for r in rows if not labels[r.doc_id]]) < 0.03
+    assert share([r.predicted for r in rows if labels[r.doc_id]]) > 0.75
+    assert share([r.predicted for r in rows if labels[r.doc_id] and lang[r.doc_id] == "en"]) > 0.9
+    assert share([r.predicted == labels[r.doc_id] for r in rows]) > 0.94

@@ -48,7 +48,7 @@ DECAY = 0.8
 LANDMARKS = 40
 PART_LENGTHS = (4, 12)
 #: A landmark occurs in so many toxic documents for each clean one.
-PRECISE = 6
+PRECISE = 15
 #: Toxic words that one clean document with a part outweighs when it is chosen.
 FOREIGN = 6
 #: Bound of the training sample: documents of each class, and characters of a text.
