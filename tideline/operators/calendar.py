@@ -5,11 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import month_start
-
 
 def months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(month): every month start from first to last."""
@@ -82,12 +80,6 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
     a = left.withColumns({"_side": F.lit(1), **{f"_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}})
     b = right.select(*keys, time, *[F.col(v).alias(f"_{v}") for v in values]).withColumn("_side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumns({f"_{v}": F.last(f"_{v}", ignorenulls=True).over(w) for v in values}).where("_side = 1")
     return got.select(*left.columns, *[F.col(f"_{v}").alias(v) for v in values])
-
-
-def bucket(date: Column | str) -> Column:
-    return month_start(date)
