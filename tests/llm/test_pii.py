@@ -40,6 +40,17 @@ def test_added_kinds():
     assert pii.spans_of("a token of love, the account was closed")["account"] == []
 
 
+def test_long_values_and_ibans_without_cue():
+    key = "eyJ0eXAi." * 22 + "x9-_z"
+    assert pii.masked(f"token: {key} end") == "token: <ACCOUNT> end"
+    assert pii.masked('api_key="' + "a1" * 2000 + '"') == 'api_key="<ACCOUNT>"'
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"):
+        for text in ("pay to {} by May", "pay to {} AND THEN 12 MORE", "{}", "({}).", "IBAN {} now", "account: {}, or"):
+            assert pii.masked(text.format(iban)) == text.format("<ACCOUNT>")
+    for text in ("DE89370400440532013001", "XDE89370400440532013000", "DE893704004405320130001", "AB12 and A1, Z9"):
+        assert pii.spans_of(text)["account"] == []
+
+
 def test_rows(spark):
     rows = [(1, "x@y.zz"), (1, "x@y.zz"), (None, "1.2.3.4"), (2, None), (3, ""), (4, "w " * 200_000 + "4111111111111111")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'spans' AS spans", "1 AS n_email")

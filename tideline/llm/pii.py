@@ -9,8 +9,8 @@ patterns would give them; beside those the method reports
 
 * ``address`` -- the host of a URL that carries credentials or is a literal IPv6
   address, up to the path (``scheme://user:secret@host``);
-* ``account`` -- IBANs that pass mod 97, and the value after a cue such as
-  ``password=`` or ``account no:``.
+* ``account`` -- IBANs that pass mod 97 (with or without a cue), and the value after
+  a cue such as ``password=`` or ``account no:``, whatever its length.
 
 A Python worker holds one bounded slice of a batch; each text is judged whole and
 alone, so there is no shuffle and no key to be skewed.
@@ -48,8 +48,18 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _AUTHORITY = re.compile(r"(?:[^\s/?#@\"'<>]+@)?(?:\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9.-]+)(?::[0-9]+)?")
-_AFTER_CUE = re.compile(r"(?: ?(?:no|number|nr|id)\.?)? ?[:=#] ?\"?([A-Za-z0-9][A-Za-z0-9_+/.-]{5,63})")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_AFTER_CUE = re.compile(r"(?: ?(?:no|number|nr|id)\.?)? ?[:=#] ?\"?([A-Za-z0-9][A-Za-z0-9_+/.-]{5,})")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Length of the IBANs of each country; others are taken as long as they pass.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 
 
 @cache
@@ -84,6 +94,21 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """Where the IBAN that begins at ``at`` ends, if one does: what follows it may
+    look like more of it, so every end of a word is tried, the longest first."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    length = IBAN_LENGTHS.get(m[0][:2])
+    for end in range(m.end(), at + 14, -1):
+        if text[end - 1] != " " and not text[end : end + 1].isalnum():
+            n = end - at - text.count(" ", at, end)
+            if (length is None or n == length) and iban_valid(text[at:end]):
+                return end
+    return None
+
+
 def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans (code points, end exclusive) by kind, each list in order of start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -92,6 +117,9 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
     for end, (what, length) in automaton().iter(text):
         at = end - length + 1
         if what == "0":
+            if "A" <= text[at - 1 : at] <= "Z" and at - 2 >= done["account"] and not text[max(0, at - 3) : at - 2].isalnum() and (to := iban_end(text, at - 2)):
+                done["account"] = to
+                found["account"].append((at - 2, to))
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()
                 digits = re.sub(r"[ -]", "", m[0])
@@ -125,9 +153,9 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
                 value = m[1].rstrip(".-_/+")
                 done["account"] = m.start(1) + len(value)
                 found["account"].append((m.start(1), done["account"]))
-            elif (m := re.compile(r"[ :=]{0,3}").match(text, end + 1)) and (m := _IBAN.match(text, m.end())) and iban_valid(m[0]):
-                done["account"] = m.end()
-                found["account"].append(m.span())
+            elif (m := re.compile(r"[ :=]{0,3}").match(text, end + 1)) and (to := iban_end(text, m.end())):
+                done["account"] = to
+                found["account"].append((m.end(), to))
     return found
 
 
