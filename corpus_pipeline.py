@@ -4,7 +4,7 @@ kept, and is written as Parquet and read again before the next. All stages but t
 last return the columns of ``documents``, and any others that came with them.
 
 Defined cases: null and empty texts are not toxic, hold no benchmark item and no
-personal data; they have equal fingerprints, so one of them stays; a row without an id
+personal data; they have equal shingles, so one of them stays; a row without an id
 passes all filters on its own; rows that repeat an id fall together in the second
 stage; an empty table stays empty; texts of any length are worked on whole."""
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import packing, pii, simhash, tiling, toxicity
+from tideline.llm import packing, pii, similar, tiling, toxicity
 from tideline.llm.common import materialise, prepare, table
 
 
@@ -23,9 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id."""
+    """One document of each group of near-duplicates (5-word shingles, Jaccard
+    similarity of 0.8 or more): that with the least id."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
