@@ -5,22 +5,29 @@ window that also starts in a document with a smaller id are removed.
 
 1. Seeds. Every window names one of its 5-word groups, the one of least hash, so
    equal windows name the same seed, and one seed stands for several windows in a
-   row. Least and greatest document of each seed are taken per slice of text
-   before the shuffle, then grouped; seeds of one document only are done.
+   row. Least and greatest document and the number of places of each seed are taken
+   per slice of text before the shuffle, then grouped; seeds of one document only are
+   done.
 2. A bitmap of fixed size (2^``bitmap_bits`` bits, whatever the corpus) marks the
    recurring seeds. It only spares shuffling: a false hit costs a row, and were
    it full the result would be the same.
-3. Confirmed passages. Windows under a marked seed go to the seed's partition in
-   order of document; one pass tells for each window whether a smaller document
-   has it. Where a slice of text itself holds a smaller document with the window,
-   that is settled before the shuffle, so a passage that a third of all documents
-   share sends one row for each slice, not one for each document.
-4. Automata. Passages are brought beside the documents; each slice of documents
-   compiles its passages into one Aho-Corasick automaton over words, and every
-   document of the slice is streamed through it. Every occurrence is located, word
-   for word; the passage carries a bound, a document id not below the first
-   document of any of its windows, and counts where the bound is below the
-   document at hand. An automaton never holds more than the words of its slice.
+3. Segments. The windows in a row under one recurring seed make a segment, which is
+   sent, words and all, to the shard of its seed. Where a slice of text holds the same
+   segment in a smaller document, that settles it there, so a passage that a third of
+   all documents share sends one row for each slice. Seeds that stand in many places
+   (``HOT_PLACES``; at most ``HOT_SEEDS`` of them are named, so their list is bounded)
+   do not hold their windows together: each of these windows is a segment of its own,
+   under its own hash, so a frequent phrase in differing surroundings is spread.
+4. Confirmed passages. In a shard the windows of the segments of a seed are compared
+   word for word; windows in a row that recur together make one passage, which carries
+   the least document that holds it.
+5. Automata. The passages of a shard (at most about ``SHARD_BYTES`` of segments at a
+   time) are compiled into one Aho-Corasick automaton over words, and the segments of
+   all documents are streamed through it. Each hit in a document behind the passage's
+   least one is a span to remove; spans come from nowhere else but from step 3's equal
+   segments in one slice. Hashes only choose shards: where two different seeds or
+   windows share one, their segments meet and differ.
+6. Spans go back to their rows by id and the hash of the whole text.
 
 Defined cases: null text: no words; a null id: nothing is removed from the row
 and it is no source for others; repeated rows have one id, so they do not remove
@@ -30,7 +37,6 @@ from each other; empty table: no rows; texts are judged whole, whatever length.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +50,10 @@ WINDOW = 13
 SEED_WORDS = 5
 BITMAP_BITS = 26
 SLICE_BYTES = 4 << 20
+#: Places of a seed beyond which its windows are spread, and the most seeds so named.
+HOT_PLACES, HOT_SEEDS = 20_000, 1 << 20
+#: Segments that one automaton is made from.
+SHARD_BYTES = 2 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,16 +63,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for every word the number of its text."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """All words of the texts: where each begins and ends in the joined line, and the
+    number of its text; and that line, with 8 bytes to spare."""
     line = b"\n".join([*texts, b"", b"\0" * 8])
     raw = np.frombuffer(line, np.uint8)[:-8]
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     ends = ends[-len(starts) :] if len(starts) else ends[:0]
+    first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    return starts, ends, np.searchsorted(first, starts, "right") - 1, line
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and for every word the number of its text."""
+    starts, ends, text_of, line = words_of(texts)
     lengths = ends - starts
-    lanes = np.ndarray((len(raw),), "<u8", line, strides=(1,))
+    lanes = np.ndarray((len(line) - 8,), "<u8", line, strides=(1,))
     h = lengths.astype(np.uint64) * _A
     on, at, left = np.arange(len(starts)), starts, lengths
     while len(on):
@@ -71,8 +89,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h[on] = _mix((h[on] ^ lane) * _A)
         more = left > 8
         on, at, left = on[more], at[more] + 8, left[more] - 8
-    first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    return h, np.searchsorted(first, starts, "right") - 1
+    return h, text_of
+
+
+def spaced(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """All words of the texts joined by one space, and where each begins (and where one
+    more would)."""
+    starts, ends, _, line = words_of(texts)
+    raw = np.frombuffer(line, np.uint8)
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends + 1] -= 1  # a word and the sign after it
+    kept = np.cumsum(inside[:-1]).astype(bool)
+    out = raw[kept].copy()
+    begins = np.cumsum(np.r_[0, ends - starts + 1])
+    out[begins[1:] - 1] = 32
+    return out.tobytes(), begins
 
 
 def _groups(h: np.ndarray, k: int) -> np.ndarray:
@@ -117,18 +149,23 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of the rows that have an id."""
+def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, marks and texts of the rows that have an id, repeated rows once."""
     rows = batch.filter(batch.column("id").is_valid())
-    return rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64), utf8(rows.column("text"))
+    ids, marks = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "mark"))
+    order = np.lexsort((marks, ids))
+    new = np.r_[True, (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])] if len(ids) else np.zeros(0, bool)
+    own = np.sort(order[new])
+    return ids[own], marks[own], utf8(rows.column("text").take(pa.array(own)))
 
 
 def recurring_seeds(rows: DataFrame, window: int) -> DataFrame:
-    """Seeds (as signed longs) that occur in more than one document."""
+    """(seed, places) of the seeds (as signed longs) that occur in more than one
+    document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
-            ids, texts = _named(b)
+            ids, _, texts = _named(b)
             w = Windows(texts, window)
             if not len(w):
                 continue
@@ -137,10 +174,11 @@ def recurring_seeds(rows: DataFrame, window: int) -> DataFrame:
             order = np.argsort(seed)
             seed, doc = seed[order], doc[order]
             cut = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
-            yield pa.RecordBatch.from_arrays([_signed(seed[cut]), pa.array(np.minimum.reduceat(doc, cut)), pa.array(np.maximum.reduceat(doc, cut))], names=["seed", "lo", "hi"])
+            places = np.diff(np.r_[cut, len(seed)])
+            yield pa.RecordBatch.from_arrays([_signed(seed[cut]), pa.array(np.minimum.reduceat(doc, cut)), pa.array(np.maximum.reduceat(doc, cut)), pa.array(places)], names=["seed", "lo", "hi", "n"])
 
-    found = rows.mapInArrow(run, "seed long, lo long, hi long")
-    return found.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("seed")
+    found = rows.mapInArrow(run, "seed long, lo long, hi long, n long")
+    return found.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("places")).where("lo < hi").select("seed", "places")
 
 
 def seed_bitmap(seeds: DataFrame, bits: int) -> bytes:
@@ -153,130 +191,188 @@ def seed_bitmap(seeds: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-SPANS = "doc long, crc long, pos long, n long, bound long"
-
-
-def _runs(doc: np.ndarray, block: np.ndarray, pos: np.ndarray, crc: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
-    """Windows in a row (same block, next position) as (doc, crc, pos, n, bound)."""
-    cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (pos[1:] != pos[:-1] + 1)])
-    return [doc[cut], crc[cut], pos[cut], np.diff(np.r_[cut, len(pos)]), np.maximum.reduceat(bound, cut)]
+def hot_seeds(seeds: DataFrame, places: int, most: int) -> np.ndarray:
+    """The seeds that stand in more than ``places`` places, sorted; the ``most`` of
+    these with most places at most (8 bytes each)."""
+    rows = seeds.where(F.col("places") > places).orderBy(F.desc("places"), "seed").limit(most).collect()
+    return np.sort(np.array([r.seed for r in rows], np.int64).view(np.uint64))
+
+
+#: A row is an open segment (words) or settled (n > 0 words to remove).
+SEGMENTS = "key long, words binary, doc long, mark long, pos long, n long"
+
+
+def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndarray], bits: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SEGMENTS`` from rows (id, mark, text)."""
+    bitmap, hot = marked
+    marks_of = np.frombuffer(bitmap, np.uint8)
+    for b in slices(batches, "text", SLICE_BYTES):
+        ids, marks, texts = _named(b)
+        w = Windows(texts, window)
+        if not len(w):
+            continue
+        place = w.seed >> np.uint64(64 - bits)
+        hit = np.flatnonzero((marks_of[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+        if not len(hit):
+            continue
+        key, text, at = w.seed[hit], w.doc[hit], w.at[hit]
+        begin = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)]
+        if len(hot):
+            busy = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            key = np.where(busy, w.hashes()[hit], key)
+            begin |= busy
+        starts = np.flatnonzero(begin)
+        first, last = at[starts], at[np.r_[starts[1:], len(at)] - 1] + window
+        key, text = key[starts], text[starts]
+        line, begins = spaced(texts)
+        words = [line[x:y] for x, y in zip(begins[first].tolist(), (begins[last] - 1).tolist(), strict=True)]
+        doc, mark, pos = ids[text], marks[text], first - w.first_word[text]
+        # the first of equal segments, in order of document, settles the others
+        order = np.argsort(doc, kind="stable")
+        owner: dict[bytes, int] = {}
+        own = np.empty(len(words), np.int64)
+        own[order] = [owner.setdefault(words[i], i) for i in order.tolist()]
+        settled = doc[own] < doc
+        open_ = np.flatnonzero(~settled)
+        gone = np.flatnonzero(settled)
+        if len(gone):  # settled segments of a text that overlap or touch are one
+            new = np.r_[True, (text[gone][1:] != text[gone][:-1]) | (first[gone][1:] > last[gone][:-1])]
+            cut = np.flatnonzero(new)
+            n = last[gone][np.r_[cut[1:], len(gone)] - 1] - first[gone][cut]
+            gone = gone[cut]
+        else:
+            n = np.zeros(0, np.int64)
+        both = np.r_[open_, gone]
+        yield pa.RecordBatch.from_arrays(
+            [_signed(key[both]), pa.array([*[words[i] for i in open_.tolist()], *[None] * len(gone)], pa.binary()), *[pa.array(x[both]) for x in (doc, mark, pos)], pa.array(np.r_[np.zeros(len(open_), np.int64), n])],
+            names=["key", "words", "doc", "mark", "pos", "n"],
+        )
+
+
+def segments(rows: DataFrame, marked, bits: int, window: int) -> DataFrame:
+    """The segments under marked seeds, each under its key."""
+    return rows.mapInArrow(lambda batches: segment_rows(batches, marked.value, bits, window), SEGMENTS)
+
+
+Place = tuple[bytes, int, int, int]  # a segment's words, and where it stands: doc, mark, pos
+
+
+def passages(held: list[tuple[tuple[int, ...], int, int]], window: int) -> dict[tuple[int, ...], int]:
+    """Passages of the segments of one key, each with its least document. Segments are
+    (words as numbers, least doc, greatest doc), all different. Windows in a row that
+    occur in the same places are one passage."""
+    if len(held) == 1:
+        words, lo, hi = held[0]
+        return {words: lo} if lo < hi else {}
+    where: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    for s, (words, _, _) in enumerate(held):
+        for i in range(len(words) - window + 1):
+            where.setdefault(words[i : i + window], []).append((s, i))
+    out: dict[tuple[int, ...], int] = {}
+    begin, last = (0, 0), None  # a passage's first window, and the places of its last
+    reach = 0
+
+    def close() -> None:
+        if last is not None:
+            s, i = begin
+            out[held[s][0][i:reach]] = min(held[t][1] for t, _ in last)
+
+    for places in where.values():  # in order of first occurrence
+        if min(held[t][1] for t, _ in places) == max(held[t][2] for t, _ in places):
+            continue
+        s, i = places[0]
+        if last is not None and len(last) == len(places) and reach == i + window - 1 and all(a == c and b + 1 == d for (a, b), (c, d) in zip(last, places, strict=True)):
+            reach += 1
+        else:
+            close()
+            begin, reach = (s, i), i + window
+        last = places
+    close()
+    return out
 
 
-def candidate_blocks(rows: DataFrame, bitmap, bits: int, window: int) -> DataFrame:
-    """Windows under marked seeds, those of one seed in a row as one block: either
-    settled within the slice (n, bound) or still open (wins: their hashes)."""
+def located(groups: list[list[Place]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (doc, mark, pos, n) that the passages of the groups (each of one key, in
+    order of doc) cover in later documents: one automaton for all groups."""
+    import ahocorasick
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(bitmap.value, np.uint8)
-        for b in slices(batches, "text", SLICE_BYTES):
-            ids, texts = _named(b)
-            w = Windows(texts, window)
-            if not len(w):
-                continue
-            place = w.seed >> np.uint64(64 - bits)
-            hit = np.flatnonzero((marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
-            if not len(hit):
+    number: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], int] = {}
+    streams: list[tuple[tuple[int, ...], list[Place]]] = []
+    for group in groups:
+        if group[0][1] == group[-1][1]:
+            continue
+        by: dict[bytes, list[Place]] = {}
+        for place in group:
+            by.setdefault(place[0], []).append(place)
+        own = [(tuple([number.setdefault(w, len(number) + 1) for w in words.split(b" ")]), held) for words, held in by.items()]
+        new = passages([(words, held[0][1], held[-1][1]) for words, held in own], window)
+        if new:
+            for words, lo in new.items():
+                found[words] = min(lo, found.get(words, lo))
+            streams += own
+    if not found:
+        return
+    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for words, lo in found.items():
+        auto.add_word(words, (len(words), lo))
+    auto.make_automaton()
+    for words, held in streams:
+        hits = sorted((end - n + 1, end + 1, lo) for end, (n, lo) in auto.iter(words))
+        spans: dict[int, list[list[int]]] = {}
+        for _, doc, mark, pos in held:
+            if pos < 0:
                 continue
-            win, seed, text, at = w.hashes()[hit], w.seed[hit], w.doc[hit], w.at[hit]
-            doc, pos = ids[text], at - w.first_word[text]
-            crc = np.array([zlib.crc32(t) for t in texts], np.int64)[text]
-            order = np.lexsort((doc, win))
-            cut = np.flatnonzero(np.r_[True, win[order][1:] != win[order][:-1]])
-            least = np.empty(len(win), np.int64)
-            least[order] = np.repeat(doc[order][cut], np.diff(np.r_[cut, len(order)]))
-            starts = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)])
-            sizes = np.diff(np.r_[starts, len(win)])
-            settled = np.minimum.reduceat((least < doc).astype(np.int8), starts).astype(bool)
-            bound = np.where(settled, np.maximum.reduceat(least, starts), 0)
-            open_ = np.repeat(~settled, sizes)
-            ends = np.cumsum(np.where(settled, 0, sizes * 8)).astype(np.int32)
-            wins = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[np.int32(0), ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(win[open_]))])
-            yield pa.RecordBatch.from_arrays(
-                [_signed(seed[starts]), *[pa.array(x[starts].astype(np.int64)) for x in (doc, crc, pos)], pa.array(np.where(settled, sizes, 0).astype(np.int64)), pa.array(bound), wins],
-                names=["seed", "doc", "crc", "pos", "n", "bound", "wins"],
-            )
-
-    return rows.mapInArrow(run, "seed long, doc long, crc long, pos long, n long, bound long, wins binary")
-
-
-def confirmed(blocks: DataFrame) -> DataFrame:
-    """Spans of windows that a smaller document has: doc, crc, pos, n, bound."""
+            if doc not in spans:
+                own: list[list[int]] = []
+                for a, b, lo in hits:
+                    if lo < doc:
+                        if own and a <= own[-1][1]:
+                            own[-1][1] = max(own[-1][1], b)
+                        else:
+                            own.append([a, b])
+                spans[doc] = own
+            for a, b in spans[doc]:
+                yield doc, mark, pos + a, b - a
+
+
+def spans_of(placed: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc, mark, pos, n): words to remove, from segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_seed, kept_win, kept_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            seed, doc, crc, pos, n, bound = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seed", "doc", "crc", "pos", "n", "bound"))
-            wins = b.column("wins").to_pylist()
-            win = np.frombuffer(b"".join(wins), np.uint64)
-            sizes = np.fromiter(map(len, wins), np.int64, len(wins)) // 8
-            row = np.repeat(np.arange(len(seed)), sizes)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            if seed[0] != last_seed:
-                kept_win, kept_doc = kept_win[:0], kept_doc[:0]
-            k = len(kept_win)
-            all_win, all_doc = np.r_[kept_win, win], np.r_[kept_doc, doc[row]]
-            order = np.lexsort((all_doc, all_win))
-            cut = np.flatnonzero(np.r_[True, all_win[order][1:] != all_win[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            least = np.empty(len(order), np.int64)
-            least[order] = np.repeat(all_doc[order][cut], np.diff(np.r_[cut, len(order)]))
-            # windows of the last seed go on into the next batch
-            firsts = order[cut]
-            on = (np.r_[np.full(k, seed[0]), seed[row]][firsts] == seed[-1]) if len(firsts) else np.zeros(0, bool)
-            kept_win, kept_doc, last_seed = all_win[firsts][on], all_doc[firsts][on], seed[-1]
-            least = least[k:]
-            gone = np.flatnonzero(least < doc[row])
-            parts = [[doc[n > 0], crc[n > 0], pos[n > 0], n[n > 0], bound[n > 0]]]
-            if len(gone):
-                r = row[gone]
-                parts.append(_runs(doc[r], r, pos[r] + within[gone], crc[r], least[gone]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["doc", "crc", "pos", "n", "bound"])
-
-    return blocks.repartition("seed").sortWithinPartitions("seed", "doc").mapInArrow(run, SPANS)
-
-
-def _passages(spans: list[dict], crc: int, window: int) -> list[tuple[int, int, int]]:
-    """Spans of one text, joined where windows overlap or touch: (from word, to
-    word, bound)."""
-    out: list[list[int]] = []
-    for s in sorted((s for s in spans if s["crc"] == crc), key=lambda s: s["pos"]):
-        if out and s["pos"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s["pos"] + s["n"])
-            out[-1][2] = max(out[-1][2], s["bound"])
-        else:
-            out.append([s["pos"], s["pos"] + s["n"], s["bound"]])
-    return [(a, b + window - 1, bound) for a, b, bound in out]
+        groups: list[list[Place]] = []
+        held, size = None, 0
 
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*located(groups, window), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "mark", "pos", "n"])
 
-def locate(ids: list[int | None], texts: list[bytes], spans: list[list[dict]], window: int = WINDOW) -> list[tuple[list[bytes], list[tuple[int, int]]]]:
-    """Per text its words and the word ranges to remove: one automaton over words
-    holds the passages of all texts, and each text is streamed through it."""
-    import ahocorasick
-
-    words = [t.split() for t in texts]
-    wanted: dict[tuple[bytes, ...], int] = {}
-    for text, own, found in zip(texts, words, spans, strict=True):
-        if found:
-            for a, b, bound in _passages(found, zlib.crc32(text), window):
-                key = tuple(own[a:b])
-                wanted[key] = min(bound, wanted.get(key, bound))
-    if not wanted:
-        return [(own, []) for own in words]
-    number = {w: i + 1 for i, w in enumerate({w for key in wanted for w in key})}
-    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, bound in wanted.items():
-        auto.add_word(tuple(map(number.__getitem__, key)), (len(key), bound))
-    auto.make_automaton()
-    out = []
-    for doc, own in zip(ids, words, strict=True):
-        ranges = []
-        if doc is not None and len(own) >= window:
-            for end, (length, bound) in auto.iter(tuple([number.get(w, 0) for w in own])):
-                if bound < doc:
-                    ranges.append((end - length + 1, end + 1))
-        out.append((own, ranges))
-    return out
+        for b in batches:
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            done = b.filter(pa.array(n > 0))
+            if done.num_rows:
+                yield done.select(["doc", "mark", "pos", "n"])
+            rows = b.filter(pa.array(n == 0))
+            for key, words, doc, mark, pos in zip(*[rows.column(c).to_pylist() for c in ("key", "words", "doc", "mark", "pos")], strict=True):
+                if key != held:
+                    if size >= shard_bytes:
+                        yield flush()
+                        groups, size = [], 0
+                    groups.append([])
+                    held = key
+                elif size >= shard_bytes and len(groups[-1]) > 1 and groups[-1][-1][1] < doc:
+                    # one key alone: its different segments stay, each with its least document
+                    yield flush()
+                    kept: dict[bytes, Place] = {}
+                    for w, d, m, _ in groups[-1]:
+                        kept.setdefault(w, (w, d, m, -1))
+                    groups, size = [list(kept.values())], 0
+                groups[-1].append((words, doc, mark, pos))
+                size += len(words) + 32
+        if groups:
+            yield flush()
+
+    return placed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, mark long, pos long, n long")
 
 
 def remaining(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
@@ -291,33 +387,38 @@ def remaining(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
     return kept + words[at:]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """(id, text, spans): every row of ``docs`` with its confirmed spans."""
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bitmap_bits: int = BITMAP_BITS, hot_places: int = HOT_PLACES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, text, spans): every row of ``docs`` with the (pos, n) to remove."""
     if window < SEED_WORDS:
         raise ValueError(f"a window has at least {SEED_WORDS} words")
     spark = docs.sparkSession
-    rows = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"`{text_col}` AS text")
-    bitmap = spark.sparkContext.broadcast(seed_bitmap(recurring_seeds(rows, window), bitmap_bits))
-    spans = confirmed(candidate_blocks(rows, bitmap, bitmap_bits, window))
-    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("crc", "pos", "n", "bound")).alias("spans"))
-    return rows.join(grouped, rows.id == grouped.doc, "left").select("id", "text", "spans")
+    rows = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"`{text_col}` AS text").withColumn("mark", F.xxhash64("text"))
+    seeds = materialise(recurring_seeds(rows, window))
+    marked = spark.sparkContext.broadcast((seed_bitmap(seeds, bitmap_bits), hot_seeds(seeds, hot_places, HOT_SEEDS)))
+    spans = spans_of(segments(rows, marked, bitmap_bits, window), window, shard_bytes)
+    # rows that repeat a text under one id share its spans
+    grouped = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+    return rows.join(grouped.withColumnRenamed("mark", "of"), (F.col("id") == F.col("doc")) & (F.col("mark") == F.col("of")), "left").select("id", "text", "spans")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bitmap_bits: int = BITMAP_BITS, hot_places: int = HOT_PLACES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row: id, n_words, n_removed, kept (text, words joined by a
     space), kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
-            found = locate(b.column("id").to_pylist(), utf8(b.column("text")), b.column("spans").to_pylist(), window)
-            kept = [(len(words), remaining(words, ranges)) for words, ranges in found]
-            lines = [b" ".join(k) for _, k in kept]
+            out, lines = [], []
+            for text, spans in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
+                words = text.split()
+                kept = remaining(words, [(s["pos"], s["pos"] + s["n"]) for s in spans or ()])
+                lines.append(b" ".join(kept))
+                out.append((len(words), len(words) - len(kept)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([n for n, _ in kept], pa.int64()), pa.array([n - len(k) for n, k in kept], pa.int64()), pa.array(lines, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in lines], pa.string())],
+                [b.column("id"), *[pa.array(c, pa.int64()) for c in zip(*out, strict=True)], pa.array(lines, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in lines], pa.string())],
                 names=["id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    beside = removed_spans(docs, id_col, text_col, window, bitmap_bits)
+    beside = removed_spans(docs, id_col, text_col, window, bitmap_bits, hot_places, shard_bytes)
     return beside.mapInArrow(run, "id long, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
