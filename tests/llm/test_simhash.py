@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tideline.llm import simhash
+from tideline.llm import simhash, similar
 
 
 def plain(text: str) -> int:
@@ -94,6 +95,19 @@ def test_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 6), (False, 8), (True, None)]
 
 
+def test_one_stays_of_each_component_in_any_order(spark):
+    a, b = " ".join(f"word{i}" for i in range(50)), "some other text of its own"
+    rows = [(0, a), (1, a), (1, b)]
+    for order in itertools.islice(itertools.permutations(rows), 0, 6, 2):
+        df = spark.createDataFrame(list(order), "doc_id long, text string").selectExpr("*", "map('k', doc_id) AS extra")
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(0, a), (1, b)]
+        assert sorted((r.doc_id, r.text) for r in similar.keep_one(df).collect()) == [(0, a), (1, b)]
+    same = [(3, a, "z"), (3, a.upper(), "y"), (3, a, "x"), (4, a, "w")]
+    for order in ([3, 2, 1, 0],):
+        df = spark.createDataFrame([same[i] for i in order], "doc_id long, text string, source string")
+        assert [tuple(r) for r in simhash.keep_one(df).collect()] == [tuple(r) for r in similar.keep_one(df).collect()] == [(3, a.upper(), "y")]
+
+
 def test_table_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, slices, table, utf8
 from .components import components
@@ -71,13 +72,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = np.fromiter((fingerprint(t) for t in utf8(b.column("text"))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _prints(b.column("text"))], names=["id", "fp"])
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+def _prints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter(map(fingerprint, utf8(texts)), np.uint64, len(texts)).view(np.int64))
+
+
+def with_fingerprint(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the fingerprint of each text, as a signed long, in one more column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*b.columns, _prints(b.column(b.schema.get_field_index(text_col)))], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+
+
 class BKTree:
     """Children keyed by integer Hamming distance to their parent."""
 
@@ -243,12 +257,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the least id; of
-    rows that repeat this id one stays. Rows without an id are kept."""
-    found = near_duplicates(docs, id_col, text_col)
-    least = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(least, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component: of the rows with its least id that of
+    the least fingerprint, and of equal fingerprints the least by content. Rows without
+    an id are kept."""
+    mark = "_fingerprint"
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull())
+    found = near_duplicates(rows, id_col, text_col).withColumnRenamed(id_col, "_id")
+    firsts = found.groupBy("component_id").agg(F.min(F.struct("_id", "fingerprint")).alias("first")).select("first.*")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    asked = rows.join(firsts.select("_id").distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
+    named = with_fingerprint(asked, text_col, mark).join(firsts, (F.col(f"`{id_col}`") == F.col("_id")) & (F.lpad(F.lower(F.hex(mark)), 16, "0") == F.col("fingerprint")))
+    whole = F.struct(*own)
+    kept = named.groupBy("_id", "fingerprint").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,25 @@ Jaccard similarity of 0.8 or more, checked exactly.
 1. Sets. Texts are lower-cased (A-Z) and cut at ASCII white space; a text's set is that
    of its 5-word shingles (a shorter text is one shingle). Equal sets are one class
    from here on, so thousands of copies are one node.
-2. Buckets. Of each set 160 minima under different permutations are taken, and every
-   5 of them name one of 32 buckets. Sets of similarity s share a bucket with
-   probability 1 - (1 - s^5)^32, which is 0.999997 at 0.8.
-3. Stars. In each bucket every class is compared with the least one, so a group of
-   near copies costs one comparison a member and not one a pair.
-4. Rest. Classes of one bucket that the stars did not join are compared in pairs, so
+2. Candidates by SimHash. Each set has a 64-bit fingerprint, and operator 4's BK-trees
+   link those at most 2 bits apart. At similarity 0.8 fingerprints differ in some ten
+   bits, so this meets copies with few changes only.
+3. Candidates by minima, for all the others. Of each set 160 minima under different
+   permutations are taken, and every 5 of them name one of 32 buckets. Sets of
+   similarity s share a bucket with probability 1 - (1 - s^5)^32, which is 0.999997 at
+   0.8.
+4. Stars. The head of a bucket is the member that meets most others in all its buckets,
+   so the copies of one text, which are often nearer to it than to each other, have
+   one head. Each class is compared with the head that it shares most buckets with, and
+   then with its other heads if these did not fall together with it.
+5. Rest. Classes of one bucket that the stars did not join are compared in pairs, so
    every pair that shares a bucket is compared or already joined.
-5. Comparison is exact, on whole sets of 64-bit shingle hashes; sets are sent only for
+6. Comparison is exact, on whole sets of 64-bit shingle hashes; sets are sent only for
    classes that stand in some pair. Components are found by star contraction.
 
-Defined cases: null and empty texts are one class; rows without an id are kept; of rows
-that repeat an id one stays; an empty table gives no rows.
+Defined cases: null and empty texts are one class; rows without an id are kept; of a
+component the class with the least id stays (the least of these, if rows repeat this id),
+and of its rows with that id one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import simhash
 from .common import materialise, slices, utf8
 from .components import components
 from .substrings import _groups, _mix, word_hashes
@@ -74,8 +83,16 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(found), 65536):
+        ones += np.unpackbits(found[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(id, cls, size, buckets) for each row (id, text)."""
+    """(id, cls, size, fp, buckets) for each row (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
@@ -84,11 +101,11 @@ def classes_of(rows: DataFrame) -> DataFrame:
             ends = np.cumsum(np.r_[0, full * BANDS]).astype(np.int32)
             keys = buckets([s for s in sets if len(s)]).ravel() if full.any() else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
-                names=["id", "cls", "size", "buckets"],
+                [b.column("id"), pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
+                names=["id", "cls", "size", "fp", "buckets"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, cls binary, size long, buckets array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, cls binary, size long, fp long, buckets array<long>")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -102,13 +119,20 @@ def sets_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls binary, items array<long>").dropDuplicates(["cls"])
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = least.join(asked, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
-    sets = materialise(sets_of(rows.join(ids, "id", "left_semi")).join(asked, "cls", "left_semi"))
-    beside = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("items", "x"), "a").join(sets.withColumnRenamed("cls", "b").withColumnRenamed("items", "y"), "b")
+def with_class(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the class of each text in one more column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, SLICE_BYTES):
+            found = pa.array(map(digest, shingles(utf8(b.column(b.schema.get_field_index(text_col))))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())]))
 
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are similar."""
+    beside = pairs.join(sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
     shared = beside.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
     return materialise(shared.where(f"{LEAST[1]} * n >= {LEAST[0]} * (both - n)").select("a", "b"))
 
@@ -118,24 +142,61 @@ def alike(x: str, y: str) -> str:
     return f"{LEAST[1]} * least({x}, {y}) >= {LEAST[0]} * greatest({x}, {y})"
 
 
+def near_fingerprints(one: DataFrame) -> DataFrame:
+    """(a, b): classes with equal fingerprints beside the least of these, and the least
+    ones of fingerprints that operator 4 links."""
+    firsts = one.where("size > 0").groupBy("fp").agg(F.min(F.struct("cls", "size")).alias("first"))
+    same = one.where("size > 0").join(firsts, "fp").select("cls", "size", F.col("first.cls").alias("head"), F.col("first.size").alias("head_size"))
+    linked = simhash.links(firsts.select("fp"))
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab")
+    near = linked.join(a, "a").join(b, "b").select(F.col("a_first.cls").alias("cls"), F.col("a_first.size").alias("size"), F.col("b_first.cls").alias("head"), F.col("b_first.size").alias("head_size"))
+    return same.where("cls <> head").unionByName(near).where(alike("size", "head_size")).select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).distinct()
+
+
+def bucket_members(one: DataFrame) -> DataFrame:
+    """(bucket, cls, size, head, head_size) for buckets of more than one class."""
+    placed = one.select("cls", "size", F.explode("buckets").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(placed.join(sizes, "bucket"))
+    degrees = met.groupBy("cls").agg(F.sum(F.col("n") - 1).alias("degree"))
+    ranked = met.drop("n").join(degrees, "cls")
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "size")).alias("head")).select("bucket", F.col("head.cls").alias("head"), F.col("head.size").alias("head_size"))
+    return materialise(met.drop("n").join(heads, "bucket"))
+
+
 def links(rows: DataFrame, found: DataFrame, least: DataFrame) -> DataFrame:
     """(a, b): links between classes that join them as all similar pairs that share a
     bucket would. ``found`` is what :func:`classes_of` gives, ``least`` the least id of
     each class."""
-    one = found.groupBy("cls").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"))
-    placed = materialise(one.select("cls", "size", F.explode("buckets").alias("bucket")))
-    heads = placed.groupBy("bucket").agg(F.min(F.struct("cls", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(placed.join(heads.drop("n"), "bucket"))
-    stars = materialise(met.where("cls <> head.cls").where(alike("size", "head.size")).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct())
-    first = confirmed(stars, rows, least)
-    roots = components(first)
-    named = met.join(roots, met.cls == roots.node, "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"), (F.col("cls") == F.col("head.cls")).alias("is_head"))
-    apart = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    # the stars have compared the head with all others
-    left = materialise(named.join(apart, "bucket").where("NOT is_head").drop("is_head"))
-    pairs = left.alias("p").join(left.alias("q"), "bucket").where(F.col("p.root") != F.col("q.root")).where("p.cls < q.cls").where(alike("p.size", "q.size"))
-    rest = materialise(pairs.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct())
-    return first if rest.isEmpty() else first.unionByName(confirmed(rest, rows, least))
+    one = materialise(found.groupBy("cls").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")))
+    met = bucket_members(one)
+    stars = materialise(met.where("cls <> head").where(alike("size", "head_size")).groupBy("cls", "head").agg(F.count(F.lit(1)).alias("shared")))
+    nearest = stars.groupBy("cls").agg(F.max_by("head", F.struct("shared", "head")).alias("head"))
+    pairs = materialise(nearest.select(F.col("cls").alias("a"), F.col("head").alias("b")).unionByName(near_fingerprints(one)).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(met.select("cls")).distinct()
+    ids = least.join(asked, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
+    sets = materialise(sets_of(rows.join(ids, "id", "left_semi")).join(asked, "cls", "left_semi"))
+    known = confirmed(pairs, sets)
+    # other heads, of classes that are still apart from them
+    apart = rooted(stars, components(known), "cls", "head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    more = materialise(apart.join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        known = known.unionByName(confirmed(more, sets))
+    # classes of a bucket that are still apart: the stars have compared all with the head
+    roots = components(known)
+    named = met.join(roots, met.cls == roots.node, "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"), (F.col("cls") == F.col("head")).alias("is_head"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    left = materialise(named.join(mixed, "bucket").where("NOT is_head").drop("is_head"))
+    met_pairs = left.alias("p").join(left.alias("q"), "bucket").where(F.col("p.root") != F.col("q.root")).where("p.cls < q.cls").where(alike("p.size", "q.size"))
+    rest = materialise(met_pairs.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct())
+    return known if rest.isEmpty() else known.unionByName(confirmed(rest, sets))
+
+
+def rooted(pairs: DataFrame, roots: DataFrame, x: str, y: str) -> DataFrame:
+    """Those of the pairs whose two classes have different roots."""
+    for side in (x, y):
+        pairs = pairs.join(roots.withColumnsRenamed({"node": side, "root": f"{side}_root"}), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs.where(F.col(f"{x}_root") != F.col(f"{y}_root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +206,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = materialise(classes_of(rows))
     least = materialise(found.groupBy("cls").agg(F.min("id").alias("least")))
     roots = components(links(rows, found, least))
-    joined = least.join(roots, least.cls == roots.node, "left").select("least", F.coalesce("root", "cls").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("least").alias(id_col)).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    joined = least.join(roots, least.cls == roots.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    firsts = joined.groupBy("root").agg(F.min(F.struct("least", "cls")).alias("first")).select(F.col("first.least").alias("id"), F.col("first.cls").alias("cls"))
+    rows_of = found.groupBy("id", "cls").agg(F.count(F.lit(1)).alias("rows"))
+    return one_row_each(docs, materialise(firsts.join(rows_of, ["id", "cls"])), id_col, text_col)
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs`` one row for each of ``kept`` (id, cls, rows), and the rows without an
+    id. Where more rows have this id and class, the least by content stays."""
+    mark, own = "_class", [F.col(f"`{c}`") for c in docs.columns]
+    of = kept.select(F.col("id").alias("_id"), F.col("cls").alias("_cls"), "rows").withColumnRenamed("rows", "_rows")
+    asked = docs.join(of.select("_id").distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
+    named = with_class(asked, text_col, mark).join(of, (F.col(f"`{id_col}`") == F.col("_id")) & (F.col(mark) == F.col("_cls")))
+    alone = named.where("_rows = 1").select(*own)
+    whole = F.struct(*own)
+    several = named.where("_rows > 1").groupBy("_id", "_cls").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return alone.unionByName(several).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
