@@ -193,11 +193,45 @@ def top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple
     return query[order], ids[order], scores[order]
 
 
-FOUND = "query_id long, vec_id long, score double"
+LISTS = "query_id long, ids array<long>, scores array<double>"
+FOUND = "query_id long, rank int, vec_id long, score double"
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _rows_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+def _lists_of(found: list[Found], k: int) -> pa.RecordBatch:
+    """One row for each query: its best so far."""
+    query, ids, scores = top(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+    cut = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    ends = pa.array(np.r_[cut, len(query)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(query[cut].astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(scores))], names=["query_id", "ids", "scores"])
+
+
+def merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all lists of each query; rows come sorted by query."""
+    held: list[Found] = []
+
+    def ranked(found: list[Found]) -> pa.RecordBatch:
+        query, ids, scores = top(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+        cut = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(1, len(query) + 1) - np.repeat(cut, np.diff(np.r_[cut, len(query)]))
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(scores)], names=["query_id", "rank", "vec_id", "score"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = b.column("query_id").to_numpy(zero_copy_only=False)
+        query = np.repeat(own, np.diff(b.column("ids").offsets.to_numpy()))
+        ids, scores = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "scores"))
+        last = query == own[-1]  # this query may go on in the next batch
+        if held and held[0][0][0] != own[-1] or not last.all():
+            yield ranked([*held, (query[~last], ids[~last], scores[~last])])
+            held = []
+        held.append((query[last], ids[last], scores[last]))
+        if len(held) > 64:
+            held = [top(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
+    if held:
+        yield ranked(held)
 
 
 def answers(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa.RecordBatch]:
@@ -206,7 +240,7 @@ def answers(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa
     held: tuple | None = None
     ids: list[np.ndarray] = []
     vectors: list[np.ndarray] = []
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[Found] = []
     size = 0
     for b in batches:
         if not b.num_rows:
@@ -231,10 +265,10 @@ def answers(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa
                     found.append(best_of(own[a + lo : min(z, a + lo + LOT_QUERIES)], x[lo : lo + LOT_QUERIES], ids[0], vectors[0], k))
                     size += len(found[-1][0])
                     if size >= HELD:
-                        yield _rows_of(*top(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
+                        yield _lists_of(found, k)
                         found, size = [], 0
     if found:
-        yield _rows_of(*top(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
+        yield _lists_of(found, k)
 
 
 @dataclass(frozen=True)
@@ -358,10 +392,8 @@ class Search:
         sent = asked.select(*bucket, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(1).alias("asked"), "id", "vec")
         where, kind, k = [*bucket, "lot"], self.kind, self.k
         rows = stored.unionByName(sent).repartition(*where).sortWithinPartitions(*where, "asked")
-        found = rows.mapInArrow(lambda batches: answers(batches, kind, k), FOUND)
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        lists = rows.mapInArrow(lambda batches: answers(batches, kind, k), LISTS)
+        return lists.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda batches: merged(batches, k), FOUND)
 
 
 def search(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = K, tables: int = TABLES, lot: int = LOT_VECTORS, seed: int = SEED, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
