@@ -28,17 +28,39 @@ def test_kernel_as_defined(pairs):
     assert np.allclose(got, [plain_kernel(a, b) for a, b in pairs], rtol=1e-4, atol=1e-6)
 
 
-def test_sentences():
-    assert list(tx.sentences("One two. Three\nf o u r e five")) == [["One", "two"], ["Three"], ["f", "o", "u", "r", "e", "five", "foure"]]
+def test_tokens():
+    assert tx.tokens_of("One two. Three\nf o u r e five") == ["One", "two.", "Three", "f", "o", "u", "r", "e", "five", "foure"]
+    assert tx.windows("a" * 12) == ["a" * 10] * 3 and tx.windows("ab") == ["ab"]
+
+
+def plain_value(word: str, mark: str) -> float:
+    own = plain_kernel(word, word) * plain_kernel(mark, mark)
+    return (plain_kernel(word, mark) / own**0.5) ** tx.POWER if own else 0.0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcdé1", max_size=9), max_size=8), st.lists(st.text("abcd", min_size=4, max_size=6), min_size=1, max_size=3, unique=True))
+def test_landmark_values(words, marks):
+    got = tx.Landmarks(marks).values(words)
+    assert got.shape == (len(words), len(marks))
+    assert np.allclose(got, np.array([[plain_value(w, m) for m in marks] for w in words]).reshape(got.shape), atol=1e-4)
+
+
+def plain_score(model: tx.Model, text: str) -> float:
+    """A score from the definition alone."""
+    words = [w for t in tx.tokens_of(text) for w in tx.windows(tx.bare(t))]
+    alpha = model.whiten @ model.weights
+    worst = max([sum(a * plain_value(w, m) for a, m in zip(alpha, model.marks, strict=True)) + model.bias for w in words], default=model.bias)
+    return 1 / (1 + np.exp(-(model.slope * worst + model.shift)))
 
 
 def corpus():
     rng = np.random.default_rng(4)
     syllables = ["ba", "co", "di", "fu", "lo", "me", "ni", "po", "ra", "su", "ta", "ve"]
     word = lambda: "".join(rng.choice(syllables, rng.integers(2, 5)))
-    clean = [". ".join(" ".join(word() for _ in range(8)) for _ in range(5)) for _ in range(150)]
+    clean = [". ".join(" ".join(word() for _ in range(8)) for _ in range(5)) for _ in range(600)]
     toxic = []
-    for i in range(120):
+    for i in range(480):
         words = [word() for _ in range(30)]
         words[int(rng.integers(30))] = ["grumblux", "zwickelt" + word(), "hyxlo"][i % 3]
         toxic.append(" ".join(words))
@@ -47,12 +69,17 @@ def corpus():
 
 def test_gaps_and_insertions():
     toxic, clean = corpus()
-    model = tx.fit(toxic[:80], clean[:100])
+    model = tx.fit(toxic[:320], clean[:400])
     assert {m[:4] for m in model.marks} & {"grum", "rumb"}
     score = lambda *t: model.scores(list(t))
-    assert score(*toxic[80:]).min() > 0.5 and score(*clean[100:]).max() < 0.3
+    assert score(*toxic[320:]).min() > 0.5 and (score(*clean[400:]) >= 0.3).mean() < 0.05
     assert score("ba co grumblux!", "it is g-r-u-m-b-l-u-x di", "such a grumxblux there", "you g r u m b l u x", "GRUMBLUX").min() > 0.3
     assert score("", " \n", "ba di fu").max() < 0.3
+    exact, put_in, less, exchanged = model.values(["grumblux", "grumxblux", "grumlux", "grumb1ux"])
+    assert exact > put_in > less > exchanged > model.bias + 0.5  # each keeps some of the kernel
+    assert score("grumlux", "grumbblux", "grumblu").min() > 0.3
+    some = ["ba co grumb1ux", "vedifu zwickelta", "", "g-r-u-m-b-l-u-x", clean[400][:60], "grumblux" + "baco" * 6]
+    assert np.allclose(model.scores(some), [plain_score(model, t) for t in some], atol=2e-3)
 
 
 def test_rows(spark):

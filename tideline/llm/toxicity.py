@@ -2,39 +2,47 @@
 Nyström landmarks.
 
 The kernel of two words counts the letter subsequences of length ``ORDER`` that they
-share, each weighted ``DECAY`` for every letter that it spans (Lodhi et al., 2002),
-so an insult with letters put in between or a long ending stays near its stem.
-
-Training. From the labelled documents a bounded sample is drawn (``TRAIN_DOCS`` of
-each class at most, in the order of a hash; texts of up to ``TRAIN_CHARS``
-characters). Landmarks are word parts found there by greedy cover: each next one is
-the part that occurs in most words of toxic documents not yet covered and hardly in
-clean ones. A word's kernel values with the landmarks, whitened by the landmarks' own
-kernel matrix, are its Nyström coordinates (a word longer than a landmark is compared by
-its windows); a sentence takes the greatest value of its words for each landmark. A squared-hinge machine is fitted to sentences: all
-sentences of clean documents, and of each toxic one those that the machine finds
-worst, chosen anew a few times. A logistic curve over the worst sentence of
-each document turns it into a score.
-
-Scoring reads every whole text once, sentence by sentence, without a shuffle. The
-model is a few matrices whose size is set by the number of landmarks. A word is
-compared with a landmark only if it has all of the landmark's letters (gaps and
-insertions keep them), and words already met by a worker are looked up.
+share, each weighted ``DECAY`` for every letter that it spans (Lodhi et al., 2002);
+normalised, and taken to the power ``POWER``, which leaves it a kernel and sets words
+of some shared letters far apart. An insult with letters put in, left out or exchanged
+stays near its stem. A word is compared by its windows of ``WINDOW`` letters, at every
+place (a shorter word whole); signs in it do not count, and four or more single letters
+in a row are one more word.
+
+Training. From the labelled documents a bounded sample is drawn (see :func:`train`).
+Landmarks are word parts found there by greedy cover: each next one is the part that
+covers most words in toxic documents of which less than ``COVER`` are covered, and that
+hardly occurs in clean ones. The
+kernel's values with the landmarks, whitened by the landmarks' own kernel matrix, are a
+word's Nyström coordinates; no value is cut off. A squared-hinge machine is fitted to
+words: of each toxic document those that the machine finds worst, chosen anew a few
+times, and landmarks with a letter put in, left out or exchanged; of the clean ones
+those that it finds worst. A logistic curve over the worst word of each document turns
+it into a score.
+
+Scoring reads every whole text once, without a shuffle. The model is a few matrices
+whose size is set by the number of landmarks. A landmark's subsequences are rows of a
+table, so a word's kernel values come from looking its own subsequences up there; those
+of no landmark add nothing and are the only ones left out. Words already met by a worker
+are looked up.
 
 Defined cases: null and empty texts get the score of a text without any toxic word;
 documents that are unlabelled, or labelled null, train nothing; a document labelled
-both ways counts as toxic; without training rows of both classes every score is 0;
-rows come out as often as they came in; an empty table gives no rows.
+both ways counts as toxic; without training rows of both classes, or without any telling
+word part (then with a warning), every score is 0; rows come out as often as they came
+in; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,27 +53,26 @@ from .common import slices, table, texts
 
 ORDER = 3
 DECAY = 0.8
+#: Chosen, like the machine's penalty, by halves of the training rows of sf0.1.
+POWER = 3
+PENALTY = 1e-3
+WINDOW = 10
 LANDMARKS = 40
 PART_LENGTHS = (4, 12)
 #: A landmark occurs in so many toxic documents for each clean one.
 PRECISE = 15
 #: Toxic words that one clean document with a part outweighs when it is chosen.
 FOREIGN = 6
+#: Words of a toxic document that landmarks are to cover.
+COVER = 3
+#: Altered forms of a landmark in training: of each kind so many, from this length on.
+ALTERED, ALTERED_LENGTH = 3, 5
 #: Bound of the training sample: documents of each class, and characters of a text.
 TRAIN_DOCS = 2500
 TRAIN_CHARS = 3000
 THRESHOLD = 0.3
-#: Kernel values below this share of a landmark's own count as none.
-FLOOR = 0.3
-#: Normalised kernel values below this count as none.
-NEAR = 0.55
-#: Letters of a word that are compared at a time; longer words in windows that overlap.
-WORD_LETTERS = 24
-#: Letters that a window may have more than the landmark.
-SLACK = 2
 KEPT_WORDS = 300_000
 
-_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SIGNS = re.compile(r"[\W_]+")
 
 
@@ -98,23 +105,89 @@ def codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
+@cache
+def places(n: int, order: int = ORDER, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
+    """All ways to take ``order`` places of n in a row, and their weights."""
+    at = np.array(list(combinations(range(n), order)), np.int64).reshape(-1, order)
+    return at, (decay ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
 def bare(token: str) -> str:
     """A token as it is compared: lower case, without signs around or in it."""
     word = token.lower()
     return word if word.isalnum() else _SIGNS.sub("", word)
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Tokens of each sentence; a row of single letters is read as one word too."""
-    out = []
-    for part in _SENTENCE.split(text):
-        own = part.split()
-        if own:
-            if list(map(len, own)).count(1) > 3:
-                row = "".join(t if len(t) == 1 else " " for t in own)
-                own += [w for w in row.split() if len(w) > 3]
-            out.append(own)
-    return out
+def windows(word: str) -> list[str]:
+    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(len(word) - WINDOW + 1)]
+
+
+def tokens_of(text: str) -> list[str]:
+    """Tokens of a text; a row of single letters is one more."""
+    own = text.split()
+    if list(map(len, own)).count(1) > 3:
+        row = "".join(t if len(t) == 1 else " " for t in own)
+        own += [w for w in row.split() if len(w) > 3]
+    return own
+
+
+class Landmarks:
+    """Kernel values of words with the landmarks."""
+
+    def __init__(self, marks: list[str]) -> None:
+        self.marks = marks
+        letters = sorted({c for m in marks for c in m})
+        self._number = np.zeros(max(map(ord, letters), default=0) + 1, np.int64)
+        self._number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self._base = len(letters) + 1
+        rows: dict[int, int] = {}
+        found = []
+        for k, m in enumerate(marks):
+            at, weight = places(len(m))
+            for code, w in zip(self._coded(self._numbers([m])[0][at]).tolist(), weight.tolist(), strict=True):
+                found.append((rows.setdefault(code, len(rows) + 1), k, w))
+        self._row = np.zeros(self._base**ORDER, np.int32)
+        self._row[list(rows)] = list(rows.values())
+        self._table = np.zeros((len(rows) + 1, len(marks)), np.float32)
+        for row, k, w in found:
+            self._table[row, k] += w
+        own = np.sqrt((self._table.astype(np.float64) ** 2).sum(0))
+        self._table = (self._table / np.where(own > 0, own, 1)).astype(np.float32)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Words of one length by the numbers of their letters, 0 for foreign ones."""
+        raw = np.frombuffer("".join(words).encode("utf-32-le"), np.int32).reshape(len(words), -1)
+        return np.where(raw < len(self._number), self._number[np.minimum(raw, len(self._number) - 1)], 0)
+
+    def _coded(self, letters: np.ndarray) -> np.ndarray:
+        code = np.zeros(letters.shape[:-1], np.int64)
+        for k in range(ORDER):
+            code = code * self._base + letters[..., k]
+        return code
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """(word, landmark): the normalised kernel to the power."""
+        out = np.zeros((len(words), len(self.marks)), np.float32)
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) >= ORDER:
+                by.setdefault(len(w), []).append(i)
+        for n, all_of in by.items():
+            at, weight = places(n)
+            step = max(1, 400_000 // len(at))
+            for lo in range(0, len(all_of), step):
+                own = all_of[lo : lo + step]
+                some = [words[i] for i in own]
+                rows = self._row[self._coded(self._numbers(some)[:, at])]
+                word, place = np.nonzero(rows)
+                if not len(word):
+                    continue
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                near = np.add.reduceat(self._table[rows[word, place]] * weight[place, None], first, axis=0)
+                hit = word[first]
+                letters = codes([some[i] for i in hit.tolist()], n)
+                out[np.array(own)[hit]] = near / np.sqrt(kernel(letters, letters))[:, None]
+        return np.minimum(out, 1) ** POWER
 
 
 @dataclass
@@ -127,92 +200,30 @@ class Model:
     shift: float
 
     def __post_init__(self) -> None:
-        width = max(map(len, self.marks), default=1)
-        self._marks = codes(self.marks, width)
-        self._own = kernel(self._marks, self._marks) if self.marks else np.zeros(0, np.float32)
-        letters = sorted({c for m in self.marks for c in m})[:63]
-        self._bit = {c: 1 << i for i, c in enumerate(letters)}
-        self._need = np.array([sum({self._bit.get(c, 0) for c in m}) for m in self.marks], np.int64)
-        self._values: dict[str, np.ndarray | None] = {}
-        self.direct = self.whiten @ self.weights if self.marks else self.weights
-
-    def word_values(self, words: list[str]) -> list[np.ndarray | None]:
-        """Nearness of each word to the landmarks; None where all are below the floor.
-
-        A landmark is compared with the word's windows of its own length and up to
-        ``SLACK`` letters more, each by the normalised kernel, and the nearest counts;
-        before that, the whole word must hold ``FLOOR`` of the landmark's own value."""
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            if len(w) <= WORD_LETTERS:
-                pieces.append(w), owner.append(i)
-            else:
-                for at in range(0, len(w) - WORD_LETTERS // 2, WORD_LETTERS // 2):
-                    pieces.append(w[at : at + WORD_LETTERS]), owner.append(i)
-        out: list[np.ndarray | None] = [None] * len(words)
-        if not pieces or not self.marks:
-            return out
-        bit = self._bit.get
-        has = np.array([sum({bit(c, 0) for c in p}) for p in pieces], np.int64)
-        rows, cols = np.nonzero((has[:, None] & self._need) == self._need)
-        if not len(rows):
-            return out
-        order = np.argsort([len(pieces[i]) for i in rows])
-        rows, cols = rows[order], cols[order]
-        for lo in range(0, len(rows), 20_000):
-            r, c = rows[lo : lo + 20_000], cols[lo : lo + 20_000]
-            share = kernel(codes([pieces[i] for i in r], len(pieces[r[-1]])), self._marks[c]) / self._own[c]
-            near = np.flatnonzero(share >= FLOOR)
-            if not len(near):
-                continue
-            windows, of = [], []
-            for k in near.tolist():
-                piece, size = pieces[r[k]], len(self.marks[c[k]])
-                for n in range(size, size + SLACK + 1):
-                    for at in range(max(1, len(piece) - n + 1)):
-                        windows.append(piece[at : at + n]), of.append(k)
-                    if len(piece) <= n:
-                        break
-            of = np.array(of)
-            letters = codes(windows, max(map(len, windows)))
-            like = kernel(letters, self._marks[c[of]]) / np.sqrt(np.maximum(kernel(letters, letters), 1e-9) * self._own[c[of]])
-            for k, v in zip(of[like >= NEAR].tolist(), like[like >= NEAR].tolist(), strict=True):
-                i = owner[r[k]]
-                if out[i] is None:
-                    out[i] = np.zeros(len(self.marks), np.float32)
-                out[i][c[k]] = max(out[i][c[k]], min(v, 1.0))
-        return out
-
-    def learn_words(self, tokens: set[str]) -> None:
-        """Fill the table of words with those not in it."""
-        if len(self._values) + len(tokens) > KEPT_WORDS:
-            self._values.clear()
-        new = [t for t in tokens if t not in self._values]
-        self._values.update(zip(new, self.word_values([bare(t) for t in new]), strict=True))
-
-    def features(self, batch: list[str]) -> Iterator[list[np.ndarray]]:
-        """For each text, of every sentence that has a word near a landmark, the
-        greatest values of its words."""
-        cut = [sentences(text) for text in batch]
-        self.learn_words(set(chain.from_iterable(chain.from_iterable(cut))))
-        value = self._values.__getitem__
-        for text in cut:
-            out = []
-            for own in text:
-                near = [v for v in map(value, own) if v is not None]
-                if near:
-                    out.append(np.maximum.reduce(near) if len(near) > 1 else near[0])
-            yield out
-
-    def decision(self, found: list[np.ndarray]) -> float:
-        """Of the worst sentence; a text without any near word has the bias."""
-        return float(max(0.0, (np.stack(found) @ self.direct).max()) if found else 0.0) + self.bias
+        self.landmarks = Landmarks(self.marks)
+        self._known: dict[str, float] = {}
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """The machine's value of each word."""
+        return self.landmarks.values(words) @ (self.whiten @ self.weights).astype(np.float32) + self.bias
+
+    def learn(self, tokens: set[str]) -> None:
+        """Fill the table of tokens with those not in it."""
+        if len(self._known) + len(tokens) > KEPT_WORDS:
+            self._known.clear()
+        new = [t for t in tokens if t not in self._known]
+        cut = [windows(bare(t)) for t in new]
+        flat = self.values(list(chain.from_iterable(cut)))
+        at = np.cumsum([0, *map(len, cut)])[:-1]
+        self._known.update(zip(new, np.maximum.reduceat(flat, at).tolist() if new else (), strict=True))
 
     def scores(self, batch: list[str]) -> np.ndarray:
         if not self.marks:
             return np.zeros(len(batch))
-        values = np.array([self.decision(found) for found in self.features(batch)])
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
+        cut = [tokens_of(text) for text in batch]
+        self.learn(set(chain.from_iterable(cut)))
+        worst = np.array([max(map(self._known.__getitem__, own), default=self.bias) for own in cut])
+        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
 
 def parts(word: str, shortest: int = PART_LENGTHS[0], longest: int = PART_LENGTHS[1]) -> list[str]:
@@ -220,8 +231,8 @@ def parts(word: str, shortest: int = PART_LENGTHS[0], longest: int = PART_LENGTH
 
 
 def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
-    """Word parts by greedy cover of the toxic documents' telling words. A part is
-    telling if enough toxic documents have it and few clean ones."""
+    """Word parts by greedy cover of the toxic documents, ``COVER`` words in each. A part
+    is telling if enough toxic documents have it and few clean ones."""
     shortest = PART_LENGTHS[0]
     words_of = lambda text: {w for w in map(bare, text.split()) if len(w) >= shortest}
     bad, good = [words_of(t) for t in toxic], [words_of(t) for t in clean]
@@ -246,30 +257,29 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     wanted = {p for p, n in has.items() if n >= support}
     foreign = Counter(p for words in good for p in wanted.intersection(chain.from_iterable(map(frequent, words))))
     telling = {p for p in wanted if PRECISE * foreign[p] <= has[p]}
-    owners: dict[str, set[int]] = {}
-    units = 0  # a word of a document; each is covered once
-    for words in bad:
-        for w in sorted(words):
-            own = telling.intersection(frequent(w))
-            if own:
-                units += 1
-                for p in own:
-                    owners.setdefault(p, set()).add(units)
-    worth = {p: len(o) - FOREIGN * foreign[p] for p, o in owners.items()}
+    owners: dict[str, dict[int, set[int]]] = {}  # part -> document -> its words with the part
+    for d, words in enumerate(bad):
+        for n, w in enumerate(sorted(words)):
+            for p in telling.intersection(frequent(w)):
+                owners.setdefault(p, {}).setdefault(d, set()).add(n)
+    worth = {p: sum(min(COVER, len(n)) for n in o.values()) - FOREIGN * foreign[p] for p, o in owners.items()}
     order = sorted(owners, key=lambda p: (-worth[p], -len(p), p))
-    left, chosen = set(range(1, units + 1)), []
+    covered: dict[int, set[int]] = {}
+    chosen: list[str] = []
     while len(chosen) < most:
         best, gain = None, (support - 1, 0)
         for p in order:
             if worth[p] < gain[0]:
                 break
-            now = (len(owners[p] & left) - FOREIGN * foreign[p], len(p))
+            new = sum(min(COVER - len(own), len(n - own)) for d, n in owners[p].items() if len(own := covered.get(d, set())) < COVER)
+            now = (new - FOREIGN * foreign[p], len(p))
             if now > gain:
                 best, gain = p, now
         if best is None:
             break
         chosen.append(best)
-        left -= owners[best]
+        for d, n in owners[best].items():
+            covered.setdefault(d, set()).update(n)
     return chosen
 
 
@@ -306,41 +316,50 @@ def logistic(v: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
     return float(p[0]), float(p[1])
 
 
-def _telling(found: list[np.ndarray], values: np.ndarray, least: float) -> list[np.ndarray]:
-    """Sentences of a toxic document that count as toxic: the worst, and any above
-    ``least``."""
-    return [s for k, s in enumerate(found) if values[k] >= least or k == int(values.argmax())]
+def altered(word: str, rng: random.Random, each: int = ALTERED) -> list[str]:
+    """Forms of a word with a letter put in, exchanged and left out."""
+    signs, out = "abcdefghijklmnopqrstuvwxyz0123456789", []
+    for _ in range(each):
+        at = rng.randrange(1, len(word))
+        out += [word[:at] + rng.choice(signs) + word[at:], word[:at] + rng.choice(signs) + word[at + 1 :], word[:at] + word[at + 1 :]]
+    return out
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 5, penalty: float = PENALTY, seed: int = 6) -> Model:
     """A model from texts of both classes."""
-    marks = choose_landmarks(toxic, clean, landmarks) if toxic and clean else []
     empty = Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, 0.0)
+    if not toxic or not clean:
+        return empty
+    marks = choose_landmarks(toxic, clean, landmarks)
     if not marks:
+        warnings.warn("no word part tells toxic texts from clean ones; all scores are 0", stacklevel=2)
         return empty
-    width = max(map(len, marks))
-    all_codes, m = codes(marks, width), len(marks)
-    left, right = np.repeat(np.arange(m), m), np.tile(np.arange(m), m)
-    gram = kernel(all_codes[left], all_codes[right]).reshape(m, m).astype(np.float64)
-    gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
+    kernels = Landmarks(marks)
+    gram = kernels.values(marks).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    values = np.maximum(values, 1e-6 * values.max())
-    whiten = vectors @ np.diag(values**-0.5) @ vectors.T
-    model = Model(marks, whiten, np.zeros(m), 0.0, 1.0, 0.0)
-    bad, good = list(model.features(toxic)), list(model.features(clean))
-    nothing = np.zeros(m, np.float32)
-    negative = [s for found in good for s in (found or [nothing])]
-    worst = [s for found in bad if found for s in _telling(found, np.array([v.max() for v in found]), 0.9)]
-    if not worst:
-        return empty
-    for _ in range(rounds):
-        x = np.stack([*worst, *negative]) @ whiten
-        model.weights, model.bias = machine(x, np.r_[np.ones(len(worst)), -np.ones(len(negative))])
-        model.direct = whiten @ model.weights
-        worst = [s for found in bad if found for s in _telling(found, np.stack(found) @ model.direct + model.bias, 0.5)]
-    decisions = np.array([model.decision(f) for f in (*bad, *good)])
-    model.slope, model.shift = logistic(decisions, np.r_[np.ones(len(bad)), np.zeros(len(good))])
-    return model
+    whiten = vectors @ np.diag(np.maximum(values, 1e-6 * values.max()) ** -0.5) @ vectors.T
+    number: dict[str, int] = {}
+    bags = [np.array([number.setdefault(w, len(number)) for t in dict.fromkeys(tokens_of(text)) for w in windows(bare(t))], np.int64) for text in (*toxic, *clean)]
+    points = kernels.values(list(number)) @ whiten.astype(np.float32)
+    bad, good = [b for b in bags[: len(toxic)] if len(b)], [b for b in bags[len(toxic) :] if len(b)]
+    rng = random.Random(seed)
+    forms = kernels.values(sorted({f for m in marks if len(m) >= ALTERED_LENGTH for f in altered(m, rng)})) @ whiten.astype(np.float32)
+    held = np.zeros(len(number), bool)
+    held[[i for w, i in number.items() if any(m in w for m in marks)]] = True
+    worst = np.unique(np.concatenate([b[held[b]] for b in bad]))
+    seen = np.unique(np.concatenate(good)) if good else np.zeros(0, np.int64)
+    hard = np.array(sorted(rng.sample(seen.tolist(), min(3000, len(seen)))), np.int64)
+    for r in range(rounds + 1):
+        x = np.concatenate([points[worst], forms, points[hard]])
+        y = np.r_[np.ones(len(worst) + len(forms)), -np.ones(len(hard))]
+        weights, bias = machine(x, y, penalty)
+        value = points @ weights + bias
+        if r < rounds:
+            worst = np.unique(np.concatenate([np.r_[b[value[b] >= 0.5], b[value[b].argmax()]] for b in bad]))
+            hard = np.unique(np.concatenate([hard, *[np.r_[b[value[b] >= 0], b[value[b].argmax()]] for b in good]]))
+    decisions = np.array([value[b].max() if len(b) else bias for b in bags])
+    slope, shift = logistic(decisions, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    return Model(marks, whiten, weights, bias, slope, shift)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -349,14 +368,18 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
     """Fit a model on a bounded sample of labelled rows that are not held out. Of each
-    class the ``2 * per_class`` ids first by hash are asked for, and of their texts
-    those of up to ``max_chars`` characters, ``per_class`` at most, are used."""
+    class the ``2 * per_class`` ids first by hash are asked for; of their texts those of
+    up to ``max_chars`` characters come first, and ``per_class`` at most are used. Of a
+    longer text the sample takes ``max_chars`` characters from a place set by its hash."""
     named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("id")))
     named = named.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64("id"))
     drawn = [named.where(F.col("toxic") == t).orderBy("at", "id").limit(2 * per_class) for t in (0, 1)]
     wanted = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 4 * per_class rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars)).join(wanted, "id")
-    sample = [r for t in (0, 1) for r in rows.where(F.col("toxic") == t).orderBy("at", "id", "text").limit(per_class).collect()]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.length("text") > 0)
+    over = F.greatest(F.length("text") - max_chars, F.lit(0))
+    part = F.substring("text", F.pmod(F.xxhash64("text"), over + 1).cast("int") + 1, F.lit(max_chars))
+    rows = rows.select("id", "toxic", "at", (over > 0).alias("long"), part.alias("text"))
+    sample = [r for t in (0, 1) for r in rows.where(F.col("toxic") == t).orderBy("long", "at", "id", "text").limit(per_class).collect()]
     return fit([r.text for r in sample if r.toxic == 1], [r.text for r in sample if r.toxic == 0])
 
 
