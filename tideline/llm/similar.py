@@ -15,8 +15,9 @@ Jaccard similarity of 0.8 or more, checked exactly.
    so the copies of one text, which are often nearer to it than to each other, have
    one head. Each class is compared with the head that it shares most buckets with, and
    then with its other heads if these did not fall together with it.
-5. Rest. Classes of one bucket that the stars did not join are compared in pairs, so
-   every pair that shares a bucket is compared or already joined.
+5. Rest. Of the classes in buckets that the stars did not join, all pairs that can be
+   similar are found by prefixes (see :func:`prefix_pairs`), so every similar pair that
+   shares a bucket is compared or already joined, and no bucket is expanded into pairs.
 6. Comparison is exact, on whole sets of 64-bit shingle hashes; sets are sent only for
    classes that stand in some pair. Components are found by star contraction.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,26 +173,55 @@ def links(rows: DataFrame, found: DataFrame, least: DataFrame) -> DataFrame:
     met = bucket_members(one)
     stars = materialise(met.where("cls <> head").where(alike("size", "head_size")).groupBy("cls", "head").agg(F.count(F.lit(1)).alias("shared")))
     nearest = stars.groupBy("cls").agg(F.max_by("head", F.struct("shared", "head")).alias("head"))
-    pairs = materialise(nearest.select(F.col("cls").alias("a"), F.col("head").alias("b")).unionByName(near_fingerprints(one)).distinct())
+    pairs = materialise(nearest.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).unionByName(near_fingerprints(one)).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(met.select("cls")).distinct()
     ids = least.join(asked, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
     sets = materialise(sets_of(rows.join(ids, "id", "left_semi")).join(asked, "cls", "left_semi"))
     known = confirmed(pairs, sets)
     # other heads, of classes that are still apart from them
-    apart = rooted(stars, components(known), "cls", "head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    more = materialise(apart.join(pairs, ["a", "b"], "left_anti"))
+    apart = rooted(stars, components(known), "cls", "head").select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
+    more = materialise(apart.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         known = known.unionByName(confirmed(more, sets))
     # classes of a bucket that are still apart: the stars have compared all with the head
     roots = components(known)
-    named = met.join(roots, met.cls == roots.node, "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"), (F.col("cls") == F.col("head")).alias("is_head"))
+    named = met.join(roots, met.cls == roots.node, "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    left = materialise(named.join(mixed, "bucket").where("NOT is_head").drop("is_head"))
-    met_pairs = left.alias("p").join(left.alias("q"), "bucket").where(F.col("p.root") != F.col("q.root")).where("p.cls < q.cls").where(alike("p.size", "q.size"))
-    rest = materialise(met_pairs.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct())
+    left = materialise(named.join(mixed, "bucket").select("cls", "size", "root").distinct())
+    rest = materialise(prefix_pairs(left, sets).join(pairs.unionByName(more), ["a", "b"], "left_anti"))
     return known if rest.isEmpty() else known.unionByName(confirmed(rest, sets))
 
 
+def prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of classes (cls, size, root) of different roots that can be
+    similar, by prefixes: with a set's shingles in order of how few of these classes have
+    them, similar sets x and y share one that stands so far ahead in both that enough can
+    follow. A set with many shingles of its own has none but those there, and meets
+    nobody. Sizes go by bands, so that a place in the order meets no sizes that are out of
+    its reach; of the classes at one shingle those of the most frequent root are not
+    compared with each other."""
+    upper = lambda n: f"cast(floor(ln({n}) / ln(1.05)) AS int)"
+    rows = left.where("size > 0").join(sets, "cls").select("cls", "size", "root", F.explode("items").alias("t"))
+    counts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("cls").orderBy("n", "t")
+    ahead = rows.join(counts, "t").withColumn("pos", F.row_number().over(w)).where("pos <= size - ceil(4 * size / 5) + 1 AND n > 1")
+    ahead = materialise(ahead.select("cls", "size", "root", "t", "pos"))
+    small = ahead.where("pos <= size - ceil(8 * size / 9) + 1").withColumn("band", F.expr(upper("size")))
+    reach = ahead.withColumn("most", F.expr("least(size, cast(floor(9 * (size - pos + 1) / 4) AS long) - size)")).where("most >= ceil(4 * size / 5)")
+    large = reach.withColumn("band", F.explode(F.expr(f"sequence({upper('ceil(4 * size / 5)')}, {upper('most')})"))).drop("most")
+    tops = small.groupBy("t", "band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("t", "band").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
+    x = small.join(tops, ["t", "band"]).withColumn("main", F.expr("root = top")).drop("top")
+    y = large.join(tops, ["t", "band"]).withColumn("main", F.expr("root = top")).drop("top")
+    enough = "ceil(4 * (x.size + y.size) / 9)"
+    fits = f"(x.size < y.size OR (x.size = y.size AND x.cls < y.cls)) AND x.root <> y.root AND x.pos <= x.size - {enough} + 1 AND y.pos <= y.size - {enough} + 1"
+    met = None
+    for one, other in ((x.where("NOT main"), y), (x.where("main"), y.where("NOT main"))):
+        part = one.alias("x").join(other.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & F.expr(fits))
+        part = part.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b"))
+        met = part if met is None else met.unionByName(part)
+    return met.distinct()
+
+
 def rooted(pairs: DataFrame, roots: DataFrame, x: str, y: str) -> DataFrame:
     """Those of the pairs whose two classes have different roots."""
     for side in (x, y):
