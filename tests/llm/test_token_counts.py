@@ -35,6 +35,30 @@ def test_little_is_encoded_again():
     assert kept.encoded < 20 and kept.n_tokens == plain(text[:50_000] + "other" + text[50_004:])
 
 
+def depth(node) -> int:
+    found, level = 0, [node]
+    while level:
+        level = [k for n in level if n.parts is None for k in (n.left, n.right)]
+        found += bool(level)
+    return found
+
+
+def test_tree_stays_flat():
+    """After a large insertion, and after thousands of small ones at one place, an edit
+    still encodes little again and finds its leaf in few steps."""
+    kept = tc.CountedText("a few words", COUNTS)
+    kept.replace(5, 5, " and many more" * 5000)
+    before = kept.encoded
+    kept.replace(30_000, 30_001, "x")
+    assert kept.encoded - before < 20 and depth(kept.root) < 16
+    for i in range(3000):
+        kept.replace(7, 7, " w" if i % 2 else ".")
+    assert depth(kept.root) < 30 and kept.n_tokens == plain(kept.text()) and len(kept) == len(kept.text())
+    while len(kept) > 10:
+        kept.replace(0, min(len(kept), 997), "")
+    assert depth(kept.root) < 10 and kept.n_tokens == plain(kept.text())
+
+
 def test_rows(spark):
     rows = [(1, "call 12345 or 99 now%%% ok"), (1, "call 12345 or 99 now%%% ok"), (2, None), (3, ""), (None, "x1"), (4, "a1b22 " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS id")

@@ -1,12 +1,14 @@
 """Token counts under edits (operator 10): a segment tree of pre-tokens per document.
 
 A byte-level BPE counts tokens inside pre-tokens, which its pattern cuts off a text
-from left to right. :class:`CountedText` keeps the pre-tokens of a text as leaves
-of a segment tree whose nodes hold characters and tokens, so the count of the whole
+from left to right. :class:`CountedText` keeps the pre-tokens of a text, a few to a leaf,
+under a segment tree whose nodes hold characters and tokens, so the count of the whole
 is at the root and the leaf at an offset is found in O(log n). An edit re-encodes
 from the last cut that no changed character could have moved (the pattern looks at
 most one character past a cut) up to the first cut after the edit that old and new
-text share, and updates the sums above these leaves only.
+text share, and updates the sums above these leaves only. New pre-tokens become leaves
+of the usual size, and a node that leans to one side is built anew, so the tree stays
+flat whatever is put in. Texts without edits are counted without a tree.
 
 Each document is counted alone in one Python worker, so nothing is shuffled.
 
@@ -22,7 +24,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,103 +54,167 @@ def part_counts(path: str) -> PartCounts:
     return PartCounts(path)
 
 
+#: Pre-tokens of a leaf.
+LEAF = 8
+#: A node of which one child holds more than this share of its leaves is built anew.
+LEAN = 0.7
+
+
+class Node:
+    """Characters, tokens and leaves below a node; a leaf holds pre-tokens."""
+
+    __slots__ = ("chars", "tokens", "leaves", "left", "right", "parts")
+
+    def __init__(self, left: Node | None = None, right: Node | None = None, parts: list[str] | None = None, tokens: int = 0) -> None:
+        self.left, self.right, self.parts = left, right, parts
+        if parts is None:
+            self.sum_up()
+        else:
+            self.chars, self.tokens, self.leaves = sum(map(len, parts)), tokens, 1
+
+    def sum_up(self) -> None:
+        a, b = self.left, self.right
+        self.chars, self.tokens, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.leaves + b.leaves
+
+
 class CountedText:
     """A text whose token count follows its edits."""
 
     def __init__(self, text: str, counts: PartCounts) -> None:
         self.counts = counts
-        self.leaves: list[str] = counts.cut(text)
         self.encoded = 0  # pre-tokens encoded again by edits
-        n = len(self.leaves)
-        self.size = 1 << max(0, n - 1).bit_length()
-        levels = [(np.zeros(self.size, np.int64), np.zeros(self.size, np.int64))]
-        levels[0][0][:n] = np.fromiter(map(len, self.leaves), np.int64, n)
-        levels[0][1][:n] = np.fromiter(map(counts.__getitem__, self.leaves), np.int64, n)
-        while len(levels[-1][0]) > 1:
-            levels.append(tuple(x.reshape(-1, 2).sum(1) for x in levels[-1]))
-        none = np.zeros(1, np.int64)  # nodes are numbered from 1, the root
-        self._chars, self._tokens = (np.concatenate([none, *[x[k] for x in reversed(levels)]]) for k in (0, 1))
-        self.leaves += [""] * (self.size - n)
-        self.chars: list[int] | np.ndarray = self._chars
-        self.tokens: list[int] | np.ndarray = self._tokens
+        self.root = self._built(self._leaves(counts.cut(text)))
+
+    def _leaves(self, parts: list[str]) -> list[Node]:
+        count = self.counts.__getitem__
+        return [Node(parts=own, tokens=sum(map(count, own))) for own in (parts[i : i + LEAF] for i in range(0, len(parts), LEAF))] or [Node(parts=[])]
+
+    def _built(self, nodes: list[Node]) -> Node:
+        """A tree over nodes, with as many levels as it needs."""
+        while len(nodes) > 1:
+            nodes = [Node(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0]
 
     def __len__(self) -> int:
-        return int(self.chars[1])
+        return self.root.chars
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.root.tokens
+
+    @staticmethod
+    def _under(node: Node) -> Iterator[Node]:
+        """The leaves below a node, in order."""
+        open_ = [node]
+        while open_:
+            at = open_.pop()
+            if at.parts is None:
+                open_ += (at.right, at.left)
+            else:
+                yield at
 
     def text(self) -> str:
-        return "".join(self.leaves)
-
-    def _leaf(self, offset: int) -> tuple[int, int]:
-        """The leaf that holds the character at ``offset``, and where it begins."""
-        at, begin = 1, 0
-        while at < self.size:
-            at *= 2
-            if offset - begin >= self.chars[at]:
-                begin += self.chars[at]
-                at += 1
-        return at - self.size, begin
+        return "".join(p for leaf in self._under(self.root) for p in leaf.parts)
+
+    def _slice(self, start: int, end: int) -> tuple[list[str], int]:
+        """The pre-tokens that touch characters start..end, and where they begin."""
+        found: list[str] = []
+        first = None
+        open_ = [(self.root, 0)]
+        while open_:
+            node, begin = open_.pop()
+            if begin + node.chars <= start and node.chars or begin > end:
+                continue
+            if node.parts is None:
+                open_ += ((node.right, begin + node.left.chars), (node.left, begin))
+                continue
+            for p in node.parts:
+                if begin + len(p) > start and begin <= end:
+                    first = begin if first is None else first
+                    found.append(p)
+                begin += len(p)
+        return found, start if first is None else first
 
     def replace(self, start: int, end: int, new: str) -> None:
         """Put ``new`` in the place of the characters start..end (as they are now)."""
-        if isinstance(self.chars, np.ndarray):  # single updates are faster on lists
-            self.chars, self.tokens = self.chars.tolist(), self.tokens.tolist()
-        total = self.chars[1]
+        total = len(self)
         if not 0 <= start <= end <= total:
             raise IndexError((start, end, total))
-        first, base = self._leaf(max(0, start - 2)) if total else (0, 0)
-        last, last_begin = self._leaf(min(end, total - 1)) if total else (0, 0)
-        stop = last + 1  # leaves first..stop-1 are taken
-        to = last_begin + len(self.leaves[last])  # where they end in the old text
-        reach = 4
+        reach = 16
         while True:
-            # some more leaves, so that a shared cut can be found
-            while stop < self.size and reach > 0:
-                to += len(self.leaves[stop])
-                reach -= bool(self.leaves[stop])
-                stop += 1
-            old = "".join(self.leaves[first:stop])
-            region = old[: start - base] + new + old[end - base :]
-            parts = self.counts.cut(region)
-            whole = to >= total
-            shift = len(new) - (end - start)
-            cuts, at = {}, base
+            # what the pattern can have looked at before the edit, and enough after it to
+            # find a cut that old and new text share
+            old, base = self._slice(max(0, start - 2), min(total, end + reach))
+            to = base + sum(map(len, old))
+            whole = "".join(old)
+            parts = self.counts.cut(whole[: start - base] + new + whole[end - base :])
+            if to >= total:
+                break
+            shift, at, cuts = len(new) - (end - start), base, {}
             for i, p in enumerate(parts):
                 at += len(p)
                 cuts[at - shift] = i + 1
             shared, at = None, base
-            for leaf in range(first, stop):
-                at += len(self.leaves[leaf])
-                if at >= end and self.leaves[leaf] and at in cuts and (whole or at <= to - 2):
-                    shared = (leaf + 1, cuts[at])
+            for i, p in enumerate(old):
+                at += len(p)
+                if end <= at <= to - 2 and at in cuts:
+                    shared = (i + 1, cuts[at], at)
                     break
             if shared:
-                stop, parts = shared[0], parts[: shared[1]]
-                break
-            if whole:
+                old, parts, to = old[: shared[0]], parts[: shared[1]], shared[2]
                 break
-            reach = 2 * (stop - first)
+            reach *= 4
         self.encoded += len(parts)
-        self._put(first, stop, parts)
-
-    def _put(self, first: int, stop: int, parts: list[str]) -> None:
-        """Lay pre-tokens into leaves first..stop-1 and update the sums above."""
-        room = stop - first
-        for k in range(room):
-            own = parts[k : k + 1] if k < room - 1 else parts[k:]
-            leaf = first + k
-            self.leaves[leaf] = "".join(own)
-            self.chars[self.size + leaf] = len(self.leaves[leaf])
-            self.tokens[self.size + leaf] = sum(map(self.counts.__getitem__, own))
-        lo, hi = (self.size + first) // 2, (self.size + stop - 1) // 2
-        while lo:
-            for node in range(lo, hi + 1):
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            lo, hi = lo // 2, hi // 2
+        self.root = self._put(self.root, 0, base, to, parts)
+
+    def _put(self, node: Node, begin: int, start: int, end: int, parts: list[str]) -> Node:
+        """``node`` with ``parts`` in the place of the pre-tokens start..end."""
+        path: list[tuple[Node, bool]] = []
+        while node.parts is None:
+            cut = begin + node.left.chars
+            if end <= cut and not (start == cut == end):
+                path.append((node, True))
+                node = node.left
+            elif start >= cut:
+                path.append((node, False))
+                node, begin = node.right, cut
+            else:
+                break
+        # the whole change lies below this node: its leaves outside stay
+        leaves: list[Node] = []
+        at, put = begin, False
+        for leaf in self._under(node):
+            to = at + leaf.chars
+            if to < start or at > end or (to == start < end and leaf.chars) or (at == end > start and leaf.chars):
+                if not put and at >= end:
+                    leaves += self._leaves(parts) if parts else []
+                    put = True
+                leaves.append(leaf)
+            else:
+                before, after, p_at = [], [], at
+                for p in leaf.parts:
+                    if p_at + len(p) <= start:
+                        before.append(p)
+                    elif p_at >= end:
+                        after.append(p)
+                    p_at += len(p)
+                own = [*before, *([] if put else parts), *after]
+                put = True
+                leaves += self._leaves(own) if own else []
+            at = to
+        if not put:
+            leaves += self._leaves(parts) if parts else []
+        node = self._built(leaves or [Node(parts=[])])
+        for parent, left in reversed(path):
+            if left:
+                parent.left = node
+            else:
+                parent.right = node
+            parent.sum_up()
+            node = parent
+            if parent.leaves > 4 and max(parent.left.leaves, parent.right.leaves) > LEAN * parent.leaves:
+                node = self._built(list(self._under(parent)))
+        return node
 
 
 Edits = Callable[[str], Iterable[tuple[int, int, str]]]
@@ -174,9 +239,14 @@ def count_edits(docs: DataFrame, edits: Edits = cleaning_edits, tokenizer: str |
         for b in slices(batches, "text", 4 << 20):
             out = []
             for text in texts(b.column("text")):
+                changes = list(edits(text))
+                if not changes:
+                    plain = sum(map(counts.__getitem__, counts.cut(text)))
+                    out.append((plain, 0, plain, 0))
+                    continue
                 kept = CountedText(text, counts)
                 before, shift, n = kept.n_tokens, 0, 0
-                for start, end, new in edits(text):
+                for start, end, new in changes:
                     kept.replace(start + shift, end + shift, new)
                     shift += len(new) - (end - start)
                     n += 1
