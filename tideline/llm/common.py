@@ -31,9 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the storage that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; a local folder serves only
-    where that is unset, as in tests."""
+    where all of Spark runs on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tideline-{uuid.uuid4().hex}"
