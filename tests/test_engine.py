@@ -154,7 +154,8 @@ def test_ols_and_p_values(spark):
     want = np.linalg.lstsq(np.c_[np.ones(200), z], y, rcond=None)[0][1:] / x.std(0)
     assert np.allclose([rows["a"].coefficient, rows["b"].coefficient], want, rtol=1e-6)
     assert rows["a"].p_value < 1e-10 and 0 <= rows["intercept"].p_value <= 1
-    assert regression.ols(df.withColumn("b", F.lit(1.0)), ["k"], "y", ["a", "b"]).count() == 0
+    failed = regression.ols(df.withColumn("b", F.lit(1.0)), ["k"], "y", ["a", "b"]).collect()
+    assert [(r.term, r.n, r.coefficient, bool(r.reason)) for r in failed] == [(t, 200, None, True) for t in ("intercept", "a", "b")]
     # values of published tables
     assert abs(regression.student_two_sided(2.228138852, 10) - 0.05) < 1e-8
     assert abs(regression.f_survival(4.102821015, 2, 10) - 0.05) < 1e-8
@@ -199,34 +200,64 @@ def test_sarima_recovers_and_forecasts():
         sarima.fit_sarima(np.arange(10.0), (1, 0, 0), (1, 0, 0))
 
 
+
 def test_gru_gradients_and_learning():
     rng = np.random.default_rng(5)
-    net = gru.GRU(3, 4, 2)
+    shape = gru.Shape(3, 4, 2)
     x, y = rng.normal(size=(5, 6, 3)), rng.normal(size=(5, 2))
-    _, g = net.gradients(x, y, 0.01)
-    for k, w in net.weights.items():
-        at = tuple(rng.integers(n) for n in w.shape)
-        kept = w[at]
-        w[at] = kept + 1e-6
-        up = net.loss(x, y, 0.01)
-        w[at] = kept - 1e-6
-        down = net.loss(x, y, 0.01)
-        w[at] = kept
-        assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6, k
-    assert gru.GRU(9).parameters == 1452
-    with pytest.raises(RuntimeError):
-        net.predict(x)
+    vector = shape.start(rng) + rng.normal(0, 0.1, shape.parameters)
+    loss, slope = gru.slope(shape, vector, x, y, 0.01)
+    assert abs(loss - gru.squared_error(shape, vector, x, y, 0.01)) < 1e-12
+    for i in range(shape.parameters):
+        step = np.eye(shape.parameters)[i] * 1e-6
+        up, down = (gru.squared_error(shape, vector + s, x, y, 0.01) for s in (step, -step))
+        assert abs((up - down) / 2e-6 - slope[i]) < 1e-6, i
+    assert gru.Shape(9).parameters == 1452
     with pytest.raises(ValueError):
-        net.fit(x, y)
+        gru.fit(x, y)
     t = np.arange(200) / 5
     wave = np.sin(t)
     xs = np.array([wave[i : i + 12, None] for i in range(170)])
     ys = np.array([wave[i + 12 : i + 15] for i in range(170)])
-    net = gru.GRU(1, 8, 3)
-    history = net.fit(xs, ys, epochs=120, dropout=0.0)
+    net, history = gru.fit(xs, ys, hidden=8, epochs=120, dropout=0.0)
     assert history.validation_loss.min() < 0.2 * history.validation_loss.iloc[0]
-    again = gru.GRU.from_bytes(net.to_bytes())
-    assert np.allclose(again.predict(xs[:3]), net.predict(xs[:3]))
+    again = gru.from_row(gru.as_row(net))
+    assert np.allclose(again.predict(xs[:3]), net.predict(xs[:3])) and net.predict(xs[:3]).shape == (3, 3)
+    batched, _ = gru.fit(xs, ys, hidden=8, epochs=40, batch=50)
+    assert np.isfinite(batched.predict(xs)).all()
+
+
+def test_gru_by_groups_of_series(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{k}", dt.date(2000 + i // 12, i % 12 + 1, 1), np.sin(k + i / 3 + np.arange(6))[:, None].tolist(), [float(np.sin(k + i / 3 + 6)), 1.0]) for k in range(7) for i in range(60)]
+    rows += [("short", dt.date(2000, 1, 1), rng.normal(size=(6, 1)).tolist(), [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "area string, origin date, x array<array<double>>, y array<double>").withColumn("year", F.when(F.col("area") == "short", 2).otherwise(1))
+    old = gru.GROUP_SERIES
+    parts = gru.grouped(df, ["area"], 2)
+    assert parts.select("part").distinct().count() > 1 and parts.count() == 8 and old == 64
+    models = gru.train(df, ["year"], ["area"], epochs=3, validation=10).collect()
+    assert {(m.year, m.model is None, m.reason) for m in models} == {(1, False, None), (2, True, "1 samples are too few")}
+    found = gru.predict(df, spark.createDataFrame(models, gru.train(df, ["year"], ["area"]).schema), ["year"], ["area", "origin"], ["area"]).collect()
+    assert len(found) == 7 * 60 * 2 and {r.h for r in found} == {1, 2} and all(np.isfinite(r.predicted) for r in found)
+
+
+def test_errors_name_what_is_missing(spark):
+    df = series(spark, [1.0, 2.0, 3.0]).withColumn("x", F.array("v"))
+    one = df.select("area", F.col("month").alias("origin"), "x")
+    first = df.agg(F.min("month")).first()[0].isoformat()
+    assert samples.latest_context(one, ["area"], first).count() == 1
+    two = one.unionByName(one.limit(1).withColumn("area", F.lit("other")).withColumn("origin", F.lit("1900-01-01").cast("date")))
+    with pytest.raises(ValueError, match="other"):
+        samples.latest_context(two, ["area"], first)
+    with pytest.raises(ValueError, match="other"):
+        samples.latest_context(one, ["area"], first, wanted=two)
+    year = spark.createDataFrame([("a", dt.date(2000, m, 1), 1.0) for m in range(1, 13)] + [("b", dt.date(1999, 1, 1), 1.0)], "area string, month date, v double")
+    with pytest.raises(ValueError, match="b"):
+        metrics.naive_year(year, ["area"], "v", 2001)
+    assert metrics.naive_year(year.where("area = 'a'"), ["area"], "v", 2001).count() == 12
+    jobs = sarima.specs(spark, sarima.CANDIDATES[:1]).withColumn("origin", F.lit("2000-12-01").cast("date"))
+    failed = sarima.forecast_sarima(year, ["area"], "v", jobs).collect()
+    assert all(r.predicted is None and "too few" in r.reason for r in failed) and {r.area for r in failed} == {"a", "b"}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -250,7 +281,10 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.results_json({"rows": df}, most=2)
     sinks.zip_files(str(tmp_path / "z.zip"), {"b/1.csv": str(tmp_path / "1.csv")})
     assert (tmp_path / "z.zip").stat().st_size > 0
-    assert sinks.markdown_table(df).first().line == "| id | a |"
+    big = {r.path: r.sha256 for r in sinks.manifest(spark, root, "*.csv").collect()}
+    sinks.WHOLE_BYTES, whole = 1, sinks.WHOLE_BYTES
+    assert {r.path: r.sha256 for r in sinks.manifest(spark, root, "*.csv").collect()} == big
+    sinks.WHOLE_BYTES = whole
     assert sinks.line_chart(series(spark, [1, 2, None, 3, 4]), "month", ["v"], "t").count("<polyline") == 2
     with pytest.raises(ValueError):
         sources.Config.from_json('{"evaluation_years": [2020], "tuning_years": [2020]}')

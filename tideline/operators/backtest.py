@@ -29,14 +29,14 @@ def sarima_forecasts(df: DataFrame, keys: Sequence[str], target: str, fold: Data
 
 
 def recurrent_forecasts(channels: DataFrame, keys: Sequence[str], names: Sequence[str], target: str, fold: DataFrame, context: int, horizon: int = 12, month: str = "month", **options) -> tuple[DataFrame, DataFrame]:
-    """Forecasts (keys, year, month, predicted) and the models: one for each fold,
-    trained on the samples of all series whose label window ended by its origin."""
+    """Forecasts (keys, year, month, predicted) and the models: one for each fold and
+    group of series, trained on samples whose label window ended by the origin."""
     w = by_month(keys, month)
     both = channels.select(*keys, F.col(month).alias("origin"), F.add_months(month, horizon).alias("label_end"), samples.context_window(names, context, w).alias("x"), samples.label_window(target, horizon, w).alias("y"))
     full = both.where(F.forall("x", lambda row: samples.all_finite(row)))
-    models = gru.train(samples.eligible(full.where(samples.all_finite("y")), fold), ["year"], ("origin", *keys), **options)
+    models = gru.train(samples.eligible(full.where(samples.all_finite("y")), fold), ["year"], keys, **options)
     at = full.join(F.broadcast(fold), "origin")
-    found = gru.predict(at, models, ["year"], [*keys, "year", "origin"])
+    found = gru.predict(at, models, ["year"], [*keys, "year", "origin"], keys)
     return found.select(*keys, "year", F.add_months("origin", F.col("h")).alias(month), "predicted"), models
 
 
@@ -66,11 +66,13 @@ def candidates_table(forecasts: DataFrame, chosen: DataFrame, month: str = "mont
     return wide.crossJoin(F.broadcast(chosen.select(F.col("winner").alias("selected_model"))))  # one row
 
 
-def pattern_check(actual: DataFrame, predicted: DataFrame, year: int, month: str = "month", value: str = "value") -> DataFrame:
-    """One row: the fall from June to October in the year before and in the forecast."""
+def pattern_check(actual: DataFrame, predicted: DataFrame, year: int, month: str = "month", value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """A row for each series: the fall from June to October in the year before and in
+    the forecast."""
 
     def fall(df: DataFrame, y: int, name: str) -> DataFrame:
         at = lambda m: F.max(F.when((F.year(month) == y) & (F.month(month) == m), F.col(value)))
-        return df.agg(at(6).alias(f"{name}_june"), at(10).alias(f"{name}_october"), (at(6) - at(10)).alias(f"{name}_drop"))
+        return df.groupBy(*keys).agg(at(6).alias(f"{name}_june"), at(10).alias(f"{name}_october"), (at(6) - at(10)).alias(f"{name}_drop"))
 
-    return fall(actual, year - 1, "actual").crossJoin(fall(predicted, year, "forecast"))  # one row each
+    before, ahead = fall(actual, year - 1, "actual"), fall(predicted, year, "forecast")
+    return before.join(ahead, list(keys)) if keys else before.crossJoin(ahead)  # without keys one row each

@@ -29,7 +29,10 @@ def spine(df: DataFrame, keys: Sequence[str] = (), month: str = "month") -> Data
 def on_spine(df: DataFrame, keys: Sequence[str] = (), month: str = "month") -> DataFrame:
     """``df`` with a row for each month of a series; what was not there is null."""
     on = [*keys, month]
-    return spine(df, keys, month).join(df, on, "left").select(*on, *[c for c in df.columns if c not in on])
+    following = F.lead(month).over(Window.partitionBy(*keys).orderBy(month))
+    last = F.greatest(F.col(month), F.add_months("_next", -1))  # the month before the next row's
+    rows = df.where(F.col(month).isNotNull()).withColumn("_next", following).select("*", F.explode(F.sequence(month, F.coalesce(last, F.col(month)), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    return rows.select(*keys, F.col("_month").alias(month), *[F.when(F.col("_month") == F.col(month), F.col(c)).alias(c) for c in df.columns if c not in on])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

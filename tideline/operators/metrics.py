@@ -52,7 +52,7 @@ def winner(scores: DataFrame, eligible: Sequence[str], model: str = "model", sco
 def best_specs(scores: DataFrame, spec: Sequence[str], by: Sequence[str] = ("rmse", "mae"), n: int = 1) -> DataFrame:
     """Mean scores of each spec over its folds, the best ``n`` first."""
     means = scores.groupBy(*spec).agg(*[F.avg(b).alias(b) for b in by])
-    return means.orderBy(*by, *spec).limit(n)
+    return means.orderBy(*[F.asc_nulls_last(b) for b in by], *spec).limit(n)
 
 
 def extremes(df: DataFrame, keys: Sequence[str], month: str, value: str) -> DataFrame:
@@ -76,9 +76,10 @@ def naive_year(df: DataFrame, keys: Sequence[str], target: str, year: int, month
     """(keys, month, predicted) for a year: the twelve values of the year before; an
     error if any series lacks one."""
     before = df.where((F.year(month) == year - 1) & F.col(target).isNotNull())
-    short = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n <> 12").first() if keys else None
-    if short is not None or (not keys and before.count() != 12):
-        raise ValueError(f"the year before {year} has not twelve values")
+    there = (F.year(month) == year - 1) & F.col(target).isNotNull()
+    short = df.groupBy(*keys).agg(F.count_if(there).alias("n")).where("n <> 12").first()
+    if short is not None:
+        raise ValueError(f"the year before {year} has not twelve values: {short.asDict()}")
     return before.select(*keys, F.add_months(month, 12).alias(month), F.col(target).alias("predicted"))
 
 

@@ -91,7 +91,8 @@ def solve(n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
 
 def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """(keys, n, r_squared, rss, term, coefficient, std_error, t_stat, p_value), a row
-    for each term; series with too few rows or a design not of full rank are left out."""
+    for each term; series with too few rows or a design not of full rank have null
+    figures and a ``reason``."""
     terms = ["intercept", *xs]
     known = moments(df, keys, y, xs)
 
@@ -101,14 +102,15 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFr
             for row in frame.to_dict("records"):
                 try:
                     fit = solve(row["n"], np.asarray(row["mean"], float), _square(row["cov"], len(terms)))
-                except np.linalg.LinAlgError:
+                except np.linalg.LinAlgError as e:
+                    out += [[*[row[k] for k in keys], row["n"], None, None, term, None, None, None, None, str(e)] for term in terms]
                     continue
                 for i, term in enumerate(terms):
-                    out.append([*[row[k] for k in keys], fit["n"], fit["r_squared"], fit["rss"], term, *[fit[c][i] for c in ("coefficient", "std_error", "t_stat", "p_value")]])
-            yield pd.DataFrame(out, columns=[*keys, "n", "r_squared", "rss", "term", "coefficient", "std_error", "t_stat", "p_value"])
+                    out.append([*[row[k] for k in keys], fit["n"], fit["r_squared"], fit["rss"], term, *[fit[c][i] for c in ("coefficient", "std_error", "t_stat", "p_value")], None])
+            yield pd.DataFrame(out, columns=[*keys, "n", "r_squared", "rss", "term", "coefficient", "std_error", "t_stat", "p_value", "reason"])
 
     head = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
-    return known.mapInPandas(run, head + "n long, r_squared double, rss double, term string, coefficient double, std_error double, t_stat double, p_value double")
+    return known.mapInPandas(run, head + "n long, r_squared double, rss double, term string, coefficient double, std_error double, t_stat double, p_value double, reason string")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ks: Sequence[int], month: str = "month") -> DataFrame:
@@ -117,7 +119,7 @@ def lagged(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ks: Seque
 
 
 def granger(df: DataFrame, keys: Sequence[str], target: str, driver: str, lags: int = 2, month: str = "month") -> DataFrame:
-    """(keys, lags, n, f_stat, p_value): whether lags of a driver help to predict the
+    """(keys, lags, n, f_stat, p_value, reason): whether lags of a driver help to predict the
     target beyond its own. Both regressions see the same complete rows."""
     ks = range(1, lags + 1)
     own, other = [f"{target}_lag{k}" for k in ks], [f"{driver}_lag{k}" for k in ks]
@@ -130,16 +132,17 @@ def granger(df: DataFrame, keys: Sequence[str], target: str, driver: str, lags:
                 n, mean, cov = row["n"], np.asarray(row["mean"], float), _square(row["cov"], 1 + 2 * lags)
                 try:
                     full, part = solve(n, mean, cov), solve(n, mean[: 1 + lags], cov[: 1 + lags, : 1 + lags])
-                except np.linalg.LinAlgError:
+                except np.linalg.LinAlgError as e:
+                    out.append([*[row[k] for k in keys], lags, n, None, None, str(e)])
                     continue
                 rest = n - 1 - 2 * lags
                 below = full["rss"] / rest if rest > 0 else 0.0
                 f = max(0.0, part["rss"] - full["rss"]) / lags / below if below > 0 else 0.0
-                out.append([*[row[k] for k in keys], lags, n, f, f_survival(f, lags, rest)])
-            yield pd.DataFrame(out, columns=[*keys, "lags", "n", "f_stat", "p_value"])
+                out.append([*[row[k] for k in keys], lags, n, f, f_survival(f, lags, rest), None])
+            yield pd.DataFrame(out, columns=[*keys, "lags", "n", "f_stat", "p_value", "reason"])
 
     head = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
-    return known.mapInPandas(run, head + "lags int, n long, f_stat double, p_value double")
+    return known.mapInPandas(run, head + "lags int, n long, f_stat double, p_value double, reason string")
 
 
 def indicator_relationship(df: DataFrame, keys: Sequence[str], target: str, indicator: str, month: str = "month") -> tuple[DataFrame, DataFrame]:

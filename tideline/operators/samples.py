@@ -63,9 +63,12 @@ def eligible(samples: DataFrame, fold: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(fold.select("year", F.col("origin").alias("fold_origin"))), F.col("label_end") <= F.col("fold_origin"))
 
 
-def latest_context(samples: DataFrame, keys: Sequence[str], origin: str) -> DataFrame:
-    """The context at an origin; an error if there is none for some series."""
+def latest_context(samples: DataFrame, keys: Sequence[str], origin: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The context of each series at an origin; an error if a series of ``wanted`` (else
+    of ``samples``) has none, or if there are no series at all."""
     got = samples.where(F.col("origin") == F.lit(origin).cast("date"))
-    if got.first() is None:
-        raise ValueError(f"no full context ends at {origin}")
+    named = (samples if wanted is None else wanted).select(*keys).distinct()
+    missing = named.join(got.select(*keys), list(keys), "left_anti").first()
+    if missing is not None or named.isEmpty():
+        raise ValueError(f"no full context ends at {origin}" + (f" for {missing.asDict()}" if missing else ""))
     return got

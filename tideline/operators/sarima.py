@@ -163,31 +163,33 @@ def forecast_sarima(df: DataFrame, keys: Sequence[str], value: str, jobs: DataFr
     """``jobs`` (spec_id, spec_order, seasonal_order, origin), a row for each fit that
     every series gets; returns (keys, spec_id, origin, h, month, predicted, std_error,
     lower, upper, aic, bic, converged, training_months). A fit learns from the values
-    up to its origin; series too short for a spec give no rows."""
+    up to its origin. Where it fails (a series too short for a spec) there is one row
+    with null figures and a ``reason``."""
     train = df.where(F.col(value).isNotNull()).select(*keys, F.col(month).alias("m"), F.col(value).alias("v"))
     # a handful of jobs meets every row: broadcast, and one group for each fit
     met = train.join(F.broadcast(jobs), F.col("m") <= F.col("origin"))
     groups = [*keys, "spec_id", "origin"]
-    columns = [*groups, "h", "predicted", "std_error", "aic", "bic", "converged", "training_months"]
+    columns = [*groups, "h", "predicted", "std_error", "aic", "bic", "converged", "training_months", "reason"]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("m")
         try:
             fit = fit_sarima(frame["v"].to_numpy(), list(frame["spec_order"].iloc[0]), list(frame["seasonal_order"].iloc[0]))
-        except ValueError:
-            return pd.DataFrame([], columns=columns)
+        except ValueError as e:
+            return pd.DataFrame([[*key, None, None, None, None, None, None, len(frame), str(e)]], columns=columns)
         mean, se = fit.forecast(steps)
-        return pd.DataFrame([[*key, h + 1, mean[h], se[h], fit.aic, fit.bic, fit.converged, len(frame)] for h in range(steps)], columns=columns)
+        return pd.DataFrame([[*key, h + 1, mean[h], se[h], fit.aic, fit.bic, fit.converged, len(frame), None] for h in range(steps)], columns=columns)
 
     head = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in groups)
-    out = met.groupBy(*groups).applyInPandas(run, head + "h int, predicted double, std_error double, aic double, bic double, converged boolean, training_months long")
+    out = met.groupBy(*groups).applyInPandas(run, head + "h int, predicted double, std_error double, aic double, bic double, converged boolean, training_months long, reason string")
     band = 1.959963984540054 * F.col("std_error")
-    return out.select(*groups, "h", F.add_months("origin", F.col("h")).alias(month), "predicted", "std_error", (F.col("predicted") - band).alias("lower"), (F.col("predicted") + band).alias("upper"), "aic", "bic", "converged", "training_months")
+    return out.select(*groups, "h", F.add_months("origin", F.col("h")).alias(month), "predicted", "std_error", (F.col("predicted") - band).alias("lower"), (F.col("predicted") + band).alias("upper"), "aic", "bic", "converged", "training_months", "reason")
 
 
 def tuning_scores(df: DataFrame, keys: Sequence[str], value: str, years: Sequence[int], candidates: Sequence = CANDIDATES, month: str = "month") -> DataFrame:
     """(keys, spec_id, year, rmse, mae, smape, bias, aic, bic, converged,
-    training_months): every candidate on every tuning year, all fits as tasks at once."""
+    training_months, reason): every candidate on every tuning year, all fits as tasks at
+    once; a fit that failed has null figures and a reason."""
     from .metrics import metric_columns
     from .samples import folds
 
@@ -197,4 +199,6 @@ def tuning_scores(df: DataFrame, keys: Sequence[str], value: str, years: Sequenc
     found = forecast_sarima(df, keys, value, jobs.drop("year"), month=month)
     facts = found.join(df.select(*keys, month, F.col(value).alias("actual")).where("actual IS NOT NULL"), [*keys, month])
     one = {c: F.first(c) for c in ("aic", "bic", "converged", "training_months")}
-    return facts.withColumn("year", F.year("origin") + 1).groupBy(*keys, "spec_id", "year").agg(*[c.alias(n) for n, c in (metric_columns() | one).items()])
+    scores = facts.withColumn("year", F.year("origin") + 1).groupBy(*keys, "spec_id", "year").agg(*[c.alias(n) for n, c in (metric_columns() | one).items()])
+    failed = found.where("h IS NULL").select(*keys, "spec_id", (F.year("origin") + 1).alias("year"), "training_months", "reason")
+    return scores.unionByName(failed, allowMissingColumns=True)

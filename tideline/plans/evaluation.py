@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +72,19 @@ def area_column(area: str, code: str) -> str:
     return f"{area.lower()}_{code}"
 
 
-def load(spark: SparkSession, inputs: Inputs) -> Bundle:
+def cut_off(inputs: Inputs, cutoff: str | None) -> Inputs:
+    """The inputs up to the month of a cutoff."""
+    return inputs if cutoff is None else replace(inputs, last=min(inputs.last, f"{cutoff[:7]}-01"))
+
+
+def load(spark: SparkSession, inputs: Inputs, cutoff: str | None = None) -> Bundle:
     """Read, clean and join the sources; nothing is computed yet but key checks; the
-    monthly table is kept once it is."""
+    monthly table is kept once it is. Nothing after ``cutoff`` is used."""
     registry = inputs.registry(spark)
     registry.require()
-    raw = registry.read("daily")
+    inputs, raw = cut_off(inputs, cutoff), registry.read("daily")
+    if cutoff is not None:
+        raw = raw.where(F.col("date") <= F.lit(cutoff).cast("date"))
     shipping = rollup.daily_to_monthly(rollup.without_exact_duplicates(raw))
     parts = [shipping]
     for name in inputs.drivers:
@@ -140,17 +147,19 @@ def evaluate(bundle: Bundle, inputs: Inputs, config: sources.Config, training: d
     links = linkage.linkages(frame, [KEY], "target", linked, ["food_indicator", "general_indicator"])
     projection = linkage.regional_projection(bundle.monthly, selected.select(KEY, "month", F.col("predicted").alias("forecast")), [KEY], linked)
     pressure = linkage.forward_pressure(projection, [KEY], "forecast", linked)
+    final_jobs = sarima.specs(spark, spec).crossJoin(final.drop("year"))  # one row
+    intervals = sarima.forecast_sarima(monthly, [KEY], "target", final_jobs).select(X.month_text("month").alias("year_month"), *[F.bround(c, 4).alias(c) for c in ("predicted", "std_error", "lower", "upper")]).orderBy("year_month")
     pattern = backtest.pattern_check(monthly.withColumnRenamed("target", "value"), selected.withColumnRenamed("predicted", "value"), int(inputs.last[:4]) + 1)
     return {
         "stationarity": tests, "tuning": tuning, "backtest": facts.drop(KEY), "scores": scores, "winner": chosen, "predictions": predictions,
-        "candidates": backtest.candidates_table(ahead, chosen), "history": gru.training_history(last_models, ["year"]), "models": models.select("year", "samples", "parameters", "epochs"),
+        "candidates": backtest.candidates_table(ahead, chosen), "history": gru.training_history(last_models, ["year"]), "models": models.select("year", "part", "samples", "parameters", "epochs", "reason"), "intervals": intervals,
         "projection": projection, "pressure": pressure, "pattern": pattern, **{f"linkage_{k}": v for k, v in links.items()},
     }
 
 
 def run(spark: SparkSession, inputs: Inputs, config: sources.Config, out: str, training: dict | None = None, candidates: Sequence = sarima.CANDIDATES) -> DataFrame:
     """Evaluate and write everything below ``out``; returns the manifest of the files."""
-    bundle = load(spark, inputs)
+    inputs, bundle = cut_off(inputs, config.data_cutoff), load(spark, inputs, config.data_cutoff)
     results = evaluate(bundle, inputs, config, training, candidates)
     first = f"{int(inputs.last[:4]) + 1}-01-01"
     metrics.assert_contract(results["predictions"], first, config.horizon)
@@ -160,8 +169,8 @@ def run(spark: SparkSession, inputs: Inputs, config: sources.Config, out: str, t
     for name, df in results.items():
         nested = any(f.dataType.typeName() in ("array", "struct", "binary") for f in df.schema)
         sinks.write_json(df, f"{out}/{name}.json") if nested or name.startswith("linkage_") else sinks.write_csv(df, f"{out}/{name}.csv", one_file=True)
-    small = {k: results[k] for k in ("scores", "winner", "pattern", "pressure")}
-    lines = [sinks.results_json({"audit": bundle.audit, **small})]
+    # every result is small but the facts and losses, which stand in files of their own
+    lines = [sinks.results_json({"audit": bundle.audit, **{k: df for k, df in results.items() if k not in ("backtest", "history")}})]
     sinks.write_text(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), f"{out}/results.json")
     winner = results["winner"].first().winner
     note = report.Report("Forecast evaluation").heading("Data").table(bundle.audit).heading("Models").table(results["scores"])

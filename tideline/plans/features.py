@@ -157,7 +157,8 @@ SELECT area, CAST(unnest(range(0, 24)) AS INT) AS step, unnest(a) AS total FROM
     exact="area step", doubles="total",
 )
 def latest_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = samples.contexts(grid(spark, sf_dir), K, ["total"]).where(F.col("origin") == F.lit("1999-12-01").cast("date"))
+    g = grid(spark, sf_dir)
+    at = samples.latest_context(samples.contexts(g, K, ["total"]), K, "1999-12-01", wanted=g)
     return at.select("area", F.posexplode("x").alias("step", "v")).select("area", "step", F.col("v")[0].alias("total"))
 
 
@@ -229,13 +230,19 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {GRID_SQL}, p AS (SELECT area, strftime(month, '%Y-%m') AS year_month, total AS forecast FROM grid WHERE year(month) = 1998 AND area = 'ASIA' AND month(month) <> 4)
-SELECT 'missing month' AS fault, '1998-04' AS year_month""",
+    f"""WITH {GRID_SQL}, p AS (SELECT strftime(month, '%Y-%m') AS year_month, CASE WHEN orders % 3 > 0 THEN total END AS forecast FROM grid WHERE month BETWEEN DATE '1997-11-01' AND DATE '1998-10-01' AND area < 'B'),
+w AS (SELECT strftime(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)), '%Y-%m') AS year_month)
+SELECT 'missing month' AS fault, year_month FROM w WHERE year_month NOT IN (SELECT year_month FROM p)
+UNION ALL SELECT DISTINCT 'foreign month', year_month FROM p WHERE year_month NOT IN (SELECT year_month FROM w)
+UNION ALL SELECT 'repeated month', year_month FROM p GROUP BY year_month HAVING count(*) > 1
+UNION ALL SELECT 'no finite value', year_month FROM p WHERE forecast IS NULL""",
     exact="fault year_month",
 )
 def prediction_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = grid(spark, sf_dir).where((F.year("month") == 1998) & (F.col("area") == "ASIA") & (F.month("month") != 4))
-    return metrics.prediction_faults(p.select(X.month_text("month").alias("year_month"), F.coalesce("total", F.lit(0.0)).alias("forecast")), "1998-01-01")
+    """Faults of a table that has them all: months of the year before, none of its end,
+    each month once for every area of some, and a value for some orders only."""
+    p = grid(spark, sf_dir).where("month BETWEEN DATE'1997-11-01' AND DATE'1998-10-01' AND area < 'B'")
+    return metrics.prediction_faults(p.select(X.month_text("month").alias("year_month"), F.expr("CASE WHEN orders % 3 > 0 THEN total END").alias("forecast")), "1998-01-01")
 
 
 @query(

@@ -48,20 +48,54 @@ SELECT area, CAST(1 AS INT) AS lags, n, greatest(part_rss - full_rss, 0) / (full
     exact="area lags n", doubles="f_stat", digits=6,
 )
 def granger_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.granger(grid(spark, sf_dir), K, "total", "mean", lags=1).drop("p_value")
+    return regression.granger(grid(spark, sf_dir), K, "total", "mean", lags=1).drop("p_value", "reason")
+
+
+def granger_sql(rows: str) -> str:
+    """SQL for the causality test with two lags: the regressors made orthogonal one by
+    one, so the sums of squares follow; with two restrictions the p-value is closed."""
+    steps, known = [], ["e1"]
+    steps.append("s1 AS (SELECT area, y - avg(y) OVER a AS y, x1 - avg(x1) OVER a AS e1, x2 - avg(x2) OVER a AS x2, x3 - avg(x3) OVER a AS x3, x4 - avg(x4) OVER a AS x4 FROM s0 WINDOW a AS (PARTITION BY area))")
+    for k in (2, 3, 4):
+        less = " - ".join([f"x{k}", *[f"{e} * sum(x{k} * {e}) OVER a / sum({e} * {e}) OVER a" for e in known]])
+        steps.append(f"s{k} AS (SELECT area, y, {', '.join(known)}, {less} AS e{k}{''.join(f', x{j}' for j in range(k + 1, 5))} FROM s{k - 1} WINDOW a AS (PARTITION BY area))")
+        known.append(f"e{k}")
+    part = "sum(y * y) - sum(y * e1) ^ 2 / sum(e1 * e1) - sum(y * e2) ^ 2 / sum(e2 * e2)"
+    return f"""s0 AS (SELECT * FROM ({rows}) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND x4 IS NOT NULL), {', '.join(steps)},
+t AS (SELECT area, count(*) AS n, {part} AS part_rss, {part} - sum(y * e3) ^ 2 / sum(e3 * e3) - sum(y * e4) ^ 2 / sum(e4 * e4) AS full_rss FROM s4 GROUP BY area),
+f AS (SELECT area, CAST(2 AS INT) AS lags, n, greatest(part_rss - full_rss, 0) / 2 / (full_rss / (n - 5)) AS f_stat FROM t),
+granger AS (SELECT *, (1 + 2 * f_stat / (n - 5)) ^ (-(n - 5) / 2.0) AS p_value FROM f)"""
+
+
+@query(f"WITH {GRID_SQL}, {granger_sql('SELECT area, total AS y, lag(total, 1) OVER w AS x1, lag(total, 2) OVER w AS x2, lag(mean, 1) OVER w AS x3, lag(mean, 2) OVER w AS x4 FROM grid WINDOW w AS (PARTITION BY area ORDER BY month)')} SELECT area, lags, n, f_stat, p_value FROM granger", exact="area lags n", doubles="f_stat p_value", digits=6)
+def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regression.granger(grid(spark, sf_dir), K, "total", "mean").drop("reason")
 
 
-@query()
-def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.granger(grid(spark, sf_dir), K, "total", "mean")
+#: Two-sided p-value of Student's t by its finite series (Abramowitz and Stegun 26.7).
+STUDENT_SQL = """CASE WHEN v % 2 = 0
+  THEN 1 - sin(th) * list_sum(list_transform(range(0, v // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: (2.0 * j - 1) / (2 * j))) * cos(th) ^ (2 * k)))
+  ELSE 1 - 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (v - 1) // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: 2.0 * j / (2 * j + 1))) * cos(th) ^ (2 * k + 1)))) END"""
 
 
-@query()
+@query(
+    f"""WITH {GRID_SQL}, g AS (SELECT area, month, total, {yoy_sql('mean')} AS i FROM grid),
+k AS (SELECT area, y, a, b FROM (SELECT area, total AS y, lag(total, 1) OVER w AS a, lag(i, 1) OVER w AS b FROM g WINDOW w AS (PARTITION BY area ORDER BY month)) WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), {MOMENTS},
+r AS (SELECT *, greatest(n * (syy - b1 * say - b2 * sby), 0) AS rss, saa * sbb - sab * sab AS det FROM c),
+z AS (SELECT *, rss / (n - 3) AS s2 FROM r),
+o AS (SELECT area, n, rss, 1 - rss / (n * syy) AS r_squared, 'intercept' AS term, my - b1 * ma - b2 * mb AS coefficient, sqrt(s2 / n * (1 + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS std_error FROM z
+  UNION ALL SELECT area, n, rss, 1 - rss / (n * syy), 'total_lag1', b1, sqrt(s2 / n * sbb / det) FROM z UNION ALL SELECT area, n, rss, 1 - rss / (n * syy), 'indicator_lag1', b2, sqrt(s2 / n * saa / det) FROM z),
+q AS (SELECT *, coefficient / std_error AS t_stat, n - 3 AS v, atan(abs(coefficient / std_error) / sqrt(n - 3)) AS th FROM o),
+u AS (SELECT *, {STUDENT_SQL} AS p_value FROM q),
+{granger_sql('SELECT area, total AS y, lag(total, 1) OVER w AS x1, lag(total, 2) OVER w AS x2, lag(i, 1) OVER w AS x3, lag(i, 2) OVER w AS x4 FROM g WINDOW w AS (PARTITION BY area ORDER BY month)')}
+SELECT u.area, u.n, r_squared, rss, term, coefficient, std_error, t_stat, u.p_value, granger.f_stat, granger.p_value AS granger_p_value, CASE WHEN u.p_value < 0.05 THEN 'Yes' ELSE 'Not at 5%' END AS significant FROM u JOIN granger ON u.area = granger.area""",
+    exact="area n term significant", doubles="r_squared rss coefficient std_error t_stat p_value f_stat granger_p_value", digits=6,
+)
 def indicator_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regression and the test for an indicator, with the verdict at 5 %."""
     g = linkage.indicator(grid(spark, sf_dir), K, "indicator", ["mean"], as_yoy=True)
     fit, test = regression.indicator_relationship(g, K, "total", "indicator")
-    return fit.join(test.select("area", "f_stat", F.col("p_value").alias("granger_p_value")), "area").withColumn("significant", X.yes_at_5_percent("p_value"))
+    return fit.drop("reason").join(test.select("area", "f_stat", F.col("p_value").alias("granger_p_value")), "area").withColumn("significant", X.yes_at_5_percent("p_value"))
 
 
 @query(
@@ -100,10 +134,10 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gru_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of each epoch, one model for all areas of each fold."""
+    """Losses of each epoch, one model for a group of areas of each fold."""
     s = samples.sequence_samples(channels(spark, sf_dir), K, NAMES, "total", context=12)
     met = samples.eligible(s, samples.folds(spark, YEARS))
-    return gru.training_history(gru.train(met, ["year"], ("origin", "area"), **TRAINING), ["year"])
+    return gru.training_history(gru.train(met, ["year"], K, **TRAINING), ["year"])
 
 
 def _forecasts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -138,16 +172,16 @@ def naive_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {GRID_SQL}, a AS (SELECT month, total AS value FROM grid WHERE area = 'ASIA')
-SELECT max(value) FILTER (month = DATE '1998-06-01') AS actual_june, max(value) FILTER (month = DATE '1998-10-01') AS actual_october,
-  max(value) FILTER (month = DATE '1998-06-01') - max(value) FILTER (month = DATE '1998-10-01') AS actual_drop,
-  max(value) FILTER (month = DATE '1999-06-01') AS forecast_june, max(value) FILTER (month = DATE '1999-10-01') AS forecast_october,
-  max(value) FILTER (month = DATE '1999-06-01') - max(value) FILTER (month = DATE '1999-10-01') AS forecast_drop FROM a""",
-    doubles="actual_june actual_october actual_drop forecast_june forecast_october forecast_drop",
+    f"""WITH {GRID_SQL}, a AS (SELECT area, month, total AS value FROM grid), f AS (SELECT area, CAST(month + INTERVAL 24 MONTH AS DATE) AS month, total AS value FROM grid),
+x AS (SELECT area, max(value) FILTER (month = DATE '1998-06-01') AS actual_june, max(value) FILTER (month = DATE '1998-10-01') AS actual_october FROM a GROUP BY area),
+y AS (SELECT area, max(value) FILTER (month = DATE '1999-06-01') AS forecast_june, max(value) FILTER (month = DATE '1999-10-01') AS forecast_october FROM f GROUP BY area)
+SELECT area, actual_june, actual_october, actual_june - actual_october AS actual_drop, forecast_june, forecast_october, forecast_june - forecast_october AS forecast_drop FROM x JOIN y USING (area)""",
+    exact="area", doubles="actual_june actual_october actual_drop forecast_june forecast_october forecast_drop",
 )
 def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = grid(spark, sf_dir).where("area = 'ASIA'").select("month", F.col("total").alias("value"))
-    return backtest.pattern_check(a, a, 1999)
+    """The forecast is the value of two years before."""
+    a = grid(spark, sf_dir).select("area", "month", F.col("total").alias("value"))
+    return backtest.pattern_check(a, a.withColumn("month", F.add_months("month", 24)), 1999, keys=K)
 
 
 @query()

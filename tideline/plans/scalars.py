@@ -102,7 +102,7 @@ SELECT area, month, total FROM w JOIN panel USING (area, month)""",
 def must_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).select("area", "month", "total")
     wanted = calendar.spine(p.where(F.year("month") == 1997), ["area"])
-    return wanted.join(p, ["area", "month"])
+    return calendar.must_match(wanted, p, ["area", "month"])
 
 
 @query(

@@ -3,16 +3,23 @@ small reports. Packing files into a ZIP is the one thing the driver does itself.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import zipfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files up to this size are hashed as one value, others in blocks.
+WHOLE_BYTES, BLOCK_BYTES = 256 << 20, 8 << 20
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False, mode: str = "overwrite") -> None:
     """CSV with a header; ``one_file`` is for results that are known to be small."""
     (df.coalesce(1) if one_file else df).write.mode(mode).option("header", True).csv(path)
@@ -73,10 +80,26 @@ def results_json(parts: Mapping[str, DataFrame | object], most: int = 10_000) ->
 
 
 def manifest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, bytes, sha256) of the files under a path, hashed where they are read."""
+    """(path, bytes, sha256) of the files under a path, hashed where they are read; files
+    of more than ``WHOLE_BYTES``, too large for one value, in blocks."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= WHOLE_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = []
+            for uri in b.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as file:
+                    while block := file.read(BLOCK_BYTES):
+                        digest.update(block)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.string())], names=["path", "bytes", "sha256"])
+
+    return small.unionByName(large.mapInArrow(run, "path string, bytes long, sha256 string"))
 
 
 def zip_files(target: str, members: Mapping[str, str]) -> None:
@@ -86,16 +109,6 @@ def zip_files(target: str, members: Mapping[str, str]) -> None:
             z.write(members[name], name)
 
 
-def markdown_table(df: DataFrame, most: int = 100) -> DataFrame:
-    """(line): a frame's first rows as Markdown."""
-    spark = df.sparkSession
-    cells = lambda row: "| " + " | ".join(row) + " |"
-    head = spark.range(1).select(F.lit(0).alias("n"), F.lit(cells(df.columns)).alias("line"))
-    rule = spark.range(1).select(F.lit(1).alias("n"), F.lit(cells(["---"] * len(df.columns))).alias("line"))
-    body = df.limit(most).select(F.lit(2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("line"))
-    return head.unionByName(rule).unionByName(body).orderBy("n").select("line")
-
-
 def padded_range(df: DataFrame, values: Sequence[str], share: float = 0.08) -> DataFrame:
     """(low, high): the range that a chart's axis needs, with some room at both ends."""
     low, high = F.least(*[F.min(v) for v in values]) if len(values) > 1 else F.min(values[0]), F.greatest(*[F.max(v) for v in values]) if len(values) > 1 else F.max(values[0])
