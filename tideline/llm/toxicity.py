@@ -55,7 +55,7 @@ ORDER = 3
 DECAY = 0.8
 #: Chosen, like the machine's penalty, by halves of the training rows of sf0.1.
 POWER = 3
-PENALTY = 1e-3
+PENALTY = 1e-4
 WINDOW = 10
 LANDMARKS = 40
 PART_LENGTHS = (4, 12)
@@ -67,11 +67,14 @@ FOREIGN = 6
 COVER = 3
 #: Altered forms of a landmark in training: of each kind so many, from this length on.
 ALTERED, ALTERED_LENGTH = 3, 5
+#: What all altered forms weigh in training, where all toxic documents weigh 1.
+FORMS_SHARE = 0.2
 #: Bound of the training sample: documents of each class, and characters of a text.
 TRAIN_DOCS = 2500
 TRAIN_CHARS = 3000
 THRESHOLD = 0.3
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
+SLICE_BYTES = 1 << 20
 
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -283,11 +286,10 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     return chosen
 
 
-def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine with balanced classes, by Newton steps on the points
-    inside the margin. y is -1 or 1."""
+def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = PENALTY, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Squared-hinge machine by Newton steps on the points inside the margin; ``cost`` is
+    what each point weighs. y is -1 or 1."""
     z = np.c_[x, np.ones(len(x))].astype(np.float64)
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w = np.zeros(z.shape[1])
     ridge = penalty * np.eye(len(w))
     ridge[-1, -1] = 1e-9
@@ -297,7 +299,7 @@ def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 40
         if inside is not None and (now == inside).all():
             break
         inside = now
-        a = z[inside] * c[inside, None]
+        a = z[inside] * cost[inside, None]
         w = np.linalg.solve(a.T @ z[inside] + ridge, a.T @ y[inside])
     return w[:-1], float(w[-1])
 
@@ -346,17 +348,25 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     forms = kernels.values(sorted({f for m in marks if len(m) >= ALTERED_LENGTH for f in altered(m, rng)})) @ whiten.astype(np.float32)
     held = np.zeros(len(number), bool)
     held[[i for w, i in number.items() if any(m in w for m in marks)]] = True
-    worst = np.unique(np.concatenate([b[held[b]] for b in bad]))
-    seen = np.unique(np.concatenate(good)) if good else np.zeros(0, np.int64)
+    # a word of clean documents weighs as many of them as have it; a toxic document is
+    # shared by the words that stand for it
+    clean_in = np.bincount(np.concatenate([np.unique(b) for b in good]), minlength=len(number)) / len(clean) if good else np.zeros(len(number))
+    seen = np.flatnonzero(clean_in)
     hard = np.array(sorted(rng.sample(seen.tolist(), min(3000, len(seen)))), np.int64)
+    witnesses = [b[held[b]] for b in bad]
     for r in range(rounds + 1):
+        toxic_in = np.zeros(len(number))
+        for own in witnesses:
+            toxic_in[own] += 1 / len(own) / len(toxic) if len(own) else 0.0
+        worst = np.flatnonzero(toxic_in)
         x = np.concatenate([points[worst], forms, points[hard]])
         y = np.r_[np.ones(len(worst) + len(forms)), -np.ones(len(hard))]
-        weights, bias = machine(x, y, penalty)
+        cost = np.r_[toxic_in[worst], np.full(len(forms), FORMS_SHARE / max(1, len(forms))), clean_in[hard]]
+        weights, bias = machine(x, y, cost, penalty)
         value = points @ weights + bias
         if r < rounds:
-            worst = np.unique(np.concatenate([np.r_[b[value[b] >= 0.5], b[value[b].argmax()]] for b in bad]))
-            hard = np.unique(np.concatenate([hard, *[np.r_[b[value[b] >= 0], b[value[b].argmax()]] for b in good]]))
+            witnesses = [np.unique(np.r_[b[value[b] >= 0.5], b[value[b].argmax()]]) for b in bad]
+            hard = np.unique(np.concatenate([hard, *[np.r_[b[value[b] >= -0.5], b[value[b].argmax()]] for b in good]]))
     decisions = np.array([value[b].max() if len(b) else bias for b in bags])
     slope, shift = logistic(decisions, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return Model(marks, whiten, weights, bias, slope, shift)
@@ -388,7 +398,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shared.value.scores(texts(b.column("text"))), pa.float64())], names=["id", "score"])
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
@@ -400,7 +410,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 4 << 20):
+        for b in slices(batches, text_col, SLICE_BYTES):
             yield b.filter(pa.array(shared.value.scores(texts(b.column(b.schema.get_field_index(text_col)))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
