@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,14 +39,45 @@ def test_ids_of_table(spark, tokenizer):
         assert np.frombuffer(table.ids(r.text.encode()), "<u4").tolist() == tokenizer.encode(r.text, add_special_tokens=False).ids
 
 
+def evolved(lengths, capacity, generations=3, islands=2, rounds=4):
+    frame = pd.DataFrame({"uid": range(len(lengths)), "length": lengths, "lot": 0})
+    out = packing.settled(capacity, generations, islands, rounds)((0,), frame)
+    assert sorted(out.uid) == list(range(len(lengths))) and dict(zip(out.uid, out.length, strict=True)) == dict(enumerate(lengths))
+    filled = out.groupby("bin")["length"].sum() if len(out) else pd.Series([], dtype=int)
+    assert (filled <= capacity).all()
+    return len(filled)
+
+
+def best_fit(lengths, capacity):
+    return len(packing._settle(packing.Bins(lengths, capacity), list(range(len(lengths))), random.Random(0)).items)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=60), st.integers(0, 5))
-def test_evolve(lengths, seed):
-    best = packing.evolve(lengths, 50, random.Random(seed))
-    assert sorted(i for b in best.items for i in b) == list(range(len(lengths)))
-    assert best.room == [50 - sum(lengths[i] for i in b) for b in best.items] and all(r >= 0 for r in best.room)
-    plain = packing._settle(packing.Bins(lengths, 50), list(range(len(lengths))), random.Random(0))
-    assert len(best.items) <= len(plain.items)
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_evolve(lengths):
+    assert packing.fewest(lengths, 50) <= evolved(lengths, 50) <= best_fit(lengths, 50)
+
+
+def test_evolution_beats_best_fit():
+    """Lengths at which best fit leaves room that generations take."""
+    rng, gained = random.Random(8), 0
+    for _ in range(12):
+        lengths = [rng.randint(150, 500) for _ in range(120)]
+        plain, one, more = best_fit(lengths, 1000), evolved(lengths, 1000, rounds=0), evolved(lengths, 1000, generations=5, islands=3, rounds=8)
+        assert packing.fewest(lengths, 1000) <= more <= one <= plain
+        gained += more < one
+    assert gained >= 3
+
+
+def test_migration():
+    lengths = [40, 40, 30, 30, 30, 30]
+    a = packing.Island(lengths, 100, random.Random(0))
+    worse = packing.Bins(lengths, 100)
+    worse.items, worse.room = [[i] for i in range(6)], [100 - n for n in lengths]
+    b = packing.Island(lengths, 100, random.Random(1), population=2, known=[worse, worse.copy()])
+    assert len(b.elite.items) == 6
+    b.welcome(a.elite)
+    assert b.elite.items == a.elite.items and len(b.crowd) == 2
 
 
 def check(rows, docs, tokenizer, capacity=2048):

@@ -1,14 +1,16 @@
 """Best-fit packing (operator 3): a grouping genetic algorithm on islands.
 
 Documents become token sequences; only those longer than ``capacity`` are cut.
-Full pieces need no packing. All others go to lots of about ``lot_items`` pieces.
-Each lot lives on two islands: on each a small population of packings evolves,
-where crossover puts whole well-filled bins of one parent into the other, drops
-the bins that then hold a piece twice, and best-fits the displaced pieces;
-mutation empties the worst-filled bins likewise. After some generations each
-island's elite migrates to the other, and the lot goes on from both. In the end
-the bins that are not well filled are pooled over ``pool_lots`` lots and packed
-once more, which leaves one poor bin for a pool instead of one for a lot.
+Full pieces need no packing. All others go to lots of about ``lot_items`` pieces, and
+lots are dealt to tasks. Each lot lives on ``ISLANDS`` islands: on each a small
+population of packings evolves, where crossover puts whole well-filled bins of one
+parent into the other, drops the bins that then hold a piece twice, lets displaced pieces take the places of smaller
+ones where they fill better, and best-fits what is displaced then; mutation empties the worst-filled bins likewise. After some
+generations each island's elite migrates to the next one, and so for ``ROUNDS`` rounds,
+or until no packing can have fewer bins. Then the pieces of all bins that are not well
+filled migrate: they meet in pools over ``pool_lots`` lots and evolve there once more,
+which leaves one poor bin for a pool instead of one for a lot. A lot's islands share a
+task, since a lot takes less time than its pieces take to travel between tasks.
 
 A lot has a bounded number of pieces, so no task grows with the corpus, and the
 random choices depend on the lot alone, so a task that is run again gives the
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,7 +42,10 @@ POOL_LOTS = 16
 #: A bin below this share of the capacity is pooled and packed again.
 WELL_FILLED = 0.98
 POPULATION = 4
-GENERATIONS = 6
+#: Bins that a displaced piece is tried in.
+TRIED_BINS = 40
+#: Generations between migrations, islands, and migrations.
+GENERATIONS, ISLANDS, ROUNDS = 3, 2, 4
 
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
 
@@ -121,6 +126,29 @@ class Bins:
         return len(self.items), -sum((self.capacity - r) ** 2 for r in self.room)
 
 
+def _exchange(bins: Bins, loose: list[int], rng: random.Random) -> list[int]:
+    """Put loose pieces in the place of smaller ones where that fills a bin better (some
+    bins are tried for each); the pieces that are loose then."""
+    open_ = [b for b, r in enumerate(bins.room) if r]
+    out = []
+    for i in loose:
+        n, best = bins.lengths[i], None
+        for b in rng.sample(open_, min(TRIED_BINS, len(open_))):
+            r = bins.room[b]
+            for place, j in enumerate(bins.items[b]):
+                gain = n - bins.lengths[j]
+                if 0 < gain <= r and (best is None or gain - r > best[0]):
+                    best = (gain - r, b, place)
+        if best is None:
+            out.append(i)
+        else:
+            _, b, place = best
+            out.append(bins.items[b][place])
+            bins.room[b] += bins.lengths[bins.items[b][place]] - n
+            bins.items[b][place] = i
+    return out
+
+
 def _settle(bins: Bins, loose: list[int], rng: random.Random) -> Bins:
     """Best-fit loose pieces, the longest first; equal lengths in random order."""
     rng.shuffle(loose)
@@ -142,7 +170,7 @@ def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
     loose = [i for i in child.drop(hit) if i not in taken]
     child.items += [list(b.items[x]) for x in injected]
     child.room += [b.room[x] for x in injected]
-    return _settle(child, loose, rng)
+    return _settle(child, _exchange(child, loose, rng), rng)
 
 
 def mutate(a: Bins, rng: random.Random) -> Bins:
@@ -152,51 +180,82 @@ def mutate(a: Bins, rng: random.Random) -> Bins:
         return child
     worst = sorted(range(len(child.items)), key=lambda x: -child.room[x])[: max(2, len(child.items) // 20)]
     others = rng.sample(range(len(child.items)), max(1, len(child.items) // 20))
-    return _settle(child, child.drop({*worst, *others}), rng)
-
-
-def evolve(lengths: list[int], capacity: int, rng: random.Random, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
-    """The best packing after some generations, begun from ``elites`` and best fits."""
-    least = -(-sum(lengths) // capacity)
-    crowd = []
-    for items in elites:
-        known = Bins(lengths, capacity)
-        known.items = [list(b) for b in items]
-        known.room = [capacity - sum(lengths[i] for i in b) for b in items]
-        crowd.append(known)
-    while len(crowd) < population:
-        crowd.append(_settle(Bins(lengths, capacity), list(range(len(lengths))), rng))
-    for _ in range(generations):
-        crowd.sort(key=Bins.score)
-        if len(crowd[0].items) <= least:
-            break
-        a, b = crowd[0], rng.choice(crowd[1:])
-        crowd += [crossover(a, b, rng), crossover(b, a, rng), mutate(a, rng)]
-        crowd = sorted(crowd, key=Bins.score)[:population]
-    return min(crowd, key=Bins.score)
-
-
-def _numbered(frame: pd.DataFrame, best: Bins) -> pd.DataFrame:
-    """The frame with each piece's bin."""
-    bins = np.zeros(len(frame), np.int64)
+    return _settle(child, _exchange(child, child.drop({*worst, *others}), rng), rng)
+
+
+class Island:
+    """A population of packings of one lot."""
+
+    def __init__(self, lengths: list[int], capacity: int, rng: random.Random, population: int = POPULATION, known: Sequence[Bins] = ()) -> None:
+        self.rng, self.population = rng, population
+        self.crowd = list(known)
+        while len(self.crowd) < population:
+            self.crowd.append(_settle(Bins(lengths, capacity), list(range(len(lengths))), rng))
+        self.crowd.sort(key=Bins.score)
+
+    @property
+    def elite(self) -> Bins:
+        return self.crowd[0]
+
+    def live(self, generations: int, least: int) -> None:
+        """Some generations; none further once the packing has ``least`` bins."""
+        for _ in range(generations):
+            if len(self.elite.items) <= least:
+                break
+            a, b = self.crowd[0], self.rng.choice(self.crowd[1:])
+            self.crowd += [crossover(a, b, self.rng), crossover(b, a, self.rng), mutate(a, self.rng)]
+            self.crowd = sorted(self.crowd, key=Bins.score)[: self.population]
+
+    def welcome(self, migrant: Bins) -> None:
+        """A packing from elsewhere takes the worst one's place."""
+        self.crowd[-1] = migrant.copy()
+        self.crowd.sort(key=Bins.score)
+
+
+def fewest(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: by the sum, and by pieces of more than half a bin."""
+    return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
+
+
+def _bins_of(lengths: list[int], capacity: int, bins: np.ndarray) -> Bins:
+    """A packing from each piece's bin."""
+    found = Bins(lengths, capacity)
+    order = np.argsort(bins, kind="stable")
+    cuts = np.flatnonzero(np.diff(bins[order])) + 1
+    found.items = [held.tolist() for held in np.split(order, cuts) if len(held)]
+    found.room = [capacity - sum(lengths[i] for i in held) for held in found.items]
+    return found
+
+
+def _numbered(best: Bins, n: int) -> np.ndarray:
+    """Each piece's bin."""
+    bins = np.zeros(n, np.int64)
     for number, held in enumerate(best.items):
         bins[held] = number
-    return frame.assign(bin=bins)
+    return bins
 
 
-def _island(capacity: int):
-    """Evolve one island's packing; where ``bin`` is given, from those elites."""
+def settled(capacity: int, generations: int, islands: int, rounds: int):
+    """A function that evolves a lot (a frame of uid, length) where its islands are: at
+    each round's end the elites go round to the next island. With a column ``bin`` the
+    islands begin from that packing."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        elites: list[list[list[int]]] = []
-        if "bin" in frame.columns:
-            for _, part in frame.groupby("island"):
-                part = part.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
-                elites.append([g.index.tolist() for _, g in part.groupby("bin")])
-            frame = part.drop(columns=["bin"])
         frame = frame.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        rng = random.Random(f"{len(key)}:{':'.join(map(str, key))}")
-        return _numbered(frame, evolve(frame["length"].tolist(), capacity, rng, elites))
+        lengths = frame["length"].tolist()
+        least = fewest(lengths, capacity)
+        known = [_bins_of(lengths, capacity, frame["bin"].to_numpy())] if "bin" in frame.columns else []
+        homes = [Island(lengths, capacity, random.Random(f"{i}:{':'.join(map(str, key))}"), known=known) for i in range(islands)]
+        for _ in range(rounds):
+            if min(len(h.elite.items) for h in homes) <= least:
+                break
+            for home in homes:
+                home.live(generations, least)
+            elites = [h.elite for h in homes]
+            for home, migrant in zip(homes, [elites[-1], *elites[:-1]], strict=True):
+                home.welcome(migrant)
+        best = min((h.elite for h in homes), key=Bins.score)
+        return frame.assign(bin=_numbered(best, len(frame)))
 
     return run
 
@@ -206,27 +265,31 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, lot_items: int = LOT_ITEM
     negative; a length is at least 1 and at most ``capacity``."""
     lots = max(1, -(-lengths.where(F.col("length") < capacity).count() // lot_items))
     small = lengths.where(F.col("length") < capacity).withColumn("lot", F.pmod(F.xxhash64("uid"), F.lit(lots)))
-    schema = "uid long, length long, lot long, island int, bin long"
-    first = small.withColumn("island", F.explode(F.array(F.lit(0), F.lit(1)))).repartition(lots, "lot", "island").groupBy("lot", "island").applyInPandas(_island(capacity), schema)
-    # migration: both elites of a lot meet and evolve together
-    packed = materialise(first.groupBy("lot").applyInPandas(_island(capacity), schema).drop("island"))
+    schema = "uid long, length long, lot long, bin long"
+    evolved = settled(capacity, GENERATIONS, ISLANDS, ROUNDS)
+    packed = materialise(small.select("uid", "length", "lot").repartition(lots, "lot").groupBy("lot").applyInPandas(evolved, schema))
+    # between lots: the pieces of poor bins meet in pools and are packed again
     filled = packed.groupBy("lot", "bin").agg(F.sum("length").alias("filled"))
     poor = filled.where(F.col("filled") < WELL_FILLED * capacity).drop("filled")
-    good = packed.join(poor, ["lot", "bin"], "left_anti").select("uid", "length", F.col("lot").alias("lot"), "bin")
-    pooled = packed.join(poor, ["lot", "bin"], "left_semi").withColumn("lot", -1 - F.floor(F.col("lot") / pool_lots)).withColumn("island", F.lit(0)).select("uid", "length", "lot", "island")
-    again = pooled.groupBy("lot").applyInPandas(_island(capacity), schema).select("uid", "length", "lot", "bin")
+    good = packed.join(poor, ["lot", "bin"], "left_anti").select("uid", "length", "lot", "bin")
+    pooled = packed.join(poor, ["lot", "bin"], "left_semi").withColumn("lot", -1 - F.floor(F.col("lot") / pool_lots)).select("uid", "length", "lot")
+    again = pooled.groupBy("lot").applyInPandas(evolved, schema).select("uid", "length", "lot", "bin")
     placed = good.unionByName(again).withColumn("sequence_id", F.shiftleft(F.col("lot"), 32) + F.col("bin"))
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = 0, None
+        """Running sums of the lengths, from 0 in each sequence; rows come sorted."""
+        last, carried = None, 0
         for b in batches:
-            out = []
-            for seq, n in zip(b.column("sequence_id").to_pylist(), b.column("length").to_pylist(), strict=True):
-                at = at if seq == held else 0
-                held = seq
-                out.append(at)
-                at += n
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("sequence_id"), pa.array(out, pa.int64())], names=["uid", "sequence_id", "offset"])
+            if not b.num_rows:
+                continue
+            seq, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sequence_id", "length"))
+            before = np.cumsum(n) - n
+            cut = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+            at = before - np.repeat(before[cut], np.diff(np.r_[cut, len(seq)]))
+            if seq[0] == last:
+                at[: cut[1] if len(cut) > 1 else len(at)] += carried
+            last, carried = seq[-1], int(at[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("sequence_id"), pa.array(at)], names=["uid", "sequence_id", "offset"])
 
     ordered = placed.select("uid", "length", "sequence_id").repartition("sequence_id").sortWithinPartitions("sequence_id", "uid")
     whole = lengths.where(F.col("length") == capacity).select("uid", F.shiftleft(F.lit(1).cast("long"), 62).alias("high"))
