@@ -47,6 +47,9 @@ from .tokens import Recent
 MIN_MATCH = 5
 THRESHOLD = 0.8
 BITMAP_BITS = 26
+SLICE_BYTES = 2 << 20
+#: Words of a generation of which a worker keeps the hashes.
+KEPT_WORDS = 100_000
 
 _TOKENS = re.compile(r"[^\W_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -60,7 +63,7 @@ def tokens(text: str) -> list[str]:
 def word_hashes() -> Recent:
     from xxhash import xxh64_intdigest
 
-    return Recent(xxh64_intdigest)
+    return Recent(xxh64_intdigest, KEPT_WORDS)
 
 
 def hashed(words: list[str]) -> np.ndarray:
@@ -195,7 +198,7 @@ def candidates(rows: DataFrame, seeds: DataFrame, min_match: int, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, lengths = shared.value
         marks = np.frombuffer(bitmap, np.uint8)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             names, found = [], []
             known: set[str] = set()
             for mark, text in zip(b.column("mark").to_pylist(), texts(b.column("text")), strict=True):
@@ -229,7 +232,7 @@ def tiled(rows: DataFrame, items: DataFrame, pairs: DataFrame, min_match: int, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = None, []
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             out = []
             for mark, item, text in zip(*[b.column(c).to_pylist() for c in ("mark", "item", "text")], strict=True):
                 if item is None:
