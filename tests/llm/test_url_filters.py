@@ -1,14 +1,26 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from compare import compare
+from pyspark.sql import functions as F
 
 from tideline.llm import queries
 from tideline.llm import url_filters as uf
 
 
+def matches(pattern: str, url: str) -> bool:
+    """Whether a lower-case URL fits a pattern."""
+    body = pattern.removeprefix("|").removeprefix("|")
+    end = body.endswith("|")
+    body = body[:-1] if end else body
+    parts = [".*" if c == "*" else "(?:[^a-z0-9_.%-]|$)" if c == "^" else re.escape(c) for c in body]
+    head = "[^:/?#]*://(?:[^/?#]*[.])?" if pattern.startswith("||") else "" if pattern.startswith("|") else ".*?"
+    return re.match(head + "".join(parts) + ("\\Z" if end else ""), url, re.S) is not None
+
+
 def plain(url: str | None) -> tuple:
     u = url or ""
     host = path = ""
@@ -18,7 +30,7 @@ def plain(url: str | None) -> tuple:
         path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     low = re.sub("[A-Z]", lambda m: m[0].lower(), u)
-    hits = {v for p, v in uf.PATTERNS if re.search(uf.pattern_regex(p), low)}
+    hits = {v for p, v in uf.PATTERNS if matches(p, low)}
     verdict, rule = ("block" if hits == {"block"} else "allow"), None
     for h, p, v in sorted(uf.SITE_RULES, key=lambda r: len(r[0] + r[1])):
         if (host == h or host.endswith("." + h)) and path.startswith(p):
@@ -42,16 +54,39 @@ def test_rows(spark):
     assert uf.filter_urls(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("pattern", "tokens"), [("||spam-farm.", ["spam", "farm"]), ("||casino*.", []), ("*doubleclick*", []), ("/click?*&clickid=", ["click", "clickid"]), ("/wp-login.php|", ["wp", "login", "php"]), ("abc/def", []), ("|http://x^", ["http", "x"])])
-def test_whole_tokens(pattern, tokens):
-    assert uf.pattern_tokens(pattern) == tokens
+def test_whole_tokens(spark):
+    want = {"||spam-farm.": ["spam", "farm"], "||casino*.": [""], "*doubleclick*": [""], "/click?*&clickid=": ["click", "clickid"], "/wp-login.php|": ["wp", "login", "php"], "abc/def": [""], "|http://x^": ["http", "x"], "/a1%2/b*c/": ["a1%2"]}
+    df = spark.createDataFrame([(p,) for p in want], "pattern string")
+    assert {r.pattern: r.t for r in df.select("pattern", uf.pattern_tokens(F.col("pattern")).alias("t")).collect()} == want
 
 
 def test_every_rule_is_found_by_its_token(spark):
     urls = spark.createDataFrame([(u,) for u in URLS if u], "u string").distinct()
     index = uf.rule_index(urls, uf.PATTERNS).collect()
-    assert sorted(r.regex for r in index) == sorted(uf.pattern_regex(p) for p, _ in uf.PATTERNS)
-    assert {r.token for r in index if r.regex == uf.pattern_regex("||casino*.")} == {""}
+    assert len(index) == len(uf.PATTERNS) == len({r.regex for r in index})
+    assert {r.token for r in index if "casino.*" in r.regex} == {""}
+
+
+def test_thousands_of_rules(spark):
+    """Rules of all classes as a table, against every rule on every URL."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc0") for _ in range(rng.randint(2, 4)))
+    forms = [lambda: f"||{word()}.", lambda: f"/{word()}/", lambda: f"?{word()}=", lambda: f"/{word()}^", lambda: f"/{word()}.{word()}|", lambda: f"*{word()}{word()}*", lambda: f"/{word()}*&{word()}=", lambda: f"|http://{word()}.", lambda: f"/{word()}+[{word()}]"]
+    rules = sorted({(rng.choice(forms)(), rng.choice(["block", "block", "allow"])) for _ in range(3000)})
+    urls = [f"http{rng.choice(['', 's'])}://{word()}.{word()}.{rng.choice(['com', 'net', 'org'])}/{word()}/{word()}{rng.choice(['', '.' + word(), '?' + word() + '=1&' + word() + '=2', '+[' + word() + ']'])}" for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "pattern string, verdict string")
+    got = {r.page_id: r.verdict for r in uf.filter_urls(df, site_rules=[], patterns=table).collect()}
+    want = {i: "block" if {v for p, v in rules if matches(p, u)} == {"block"} else "allow" for i, u in enumerate(urls)}
+    assert got == want and set(want.values()) == {"allow", "block"}
+    again = {r.page_id: r.verdict for r in uf.filter_urls(df, site_rules=[], patterns=rules[:300]).collect()}
+    assert again == {i: "block" if {v for p, v in rules[:300] if matches(p, u)} == {"block"} else "allow" for i, u in enumerate(urls)}
+
+
+def test_hot_urls(spark):
+    df = spark.range(3000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://h.org/porn/' WHEN id % 3 = 1 THEN NULL ELSE concat('http://h.org/', id) END AS url")
+    got = {r.page_id: r.verdict for r in uf.filter_urls(df).collect()}
+    assert len(got) == 3000 and all((v == "block") == (i % 3 == 0) for i, v in got.items())
 
 
 def test_plan_has_no_python(spark):
