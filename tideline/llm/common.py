@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Raw text bytes that one step of a Python worker holds at a time.
 CHUNK_BYTES = 8 << 20
@@ -70,6 +71,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUN
             at = to
 
 
+BITMAP_BITS = 26
+
+
+def bitmap_of(rows: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
+    """Bitmap of hashes (signed longs) by their leading bits: 2^bits bits, whatever the
+    number of rows; the larger it is beside that, the fewer false hits it has."""
+    place = F.shiftrightunsigned(column, 64 - bits) + 1
+    blocks = rows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = bytearray(max(4096, 1 << (bits - 3)))
+    for r in blocks.collect():  # at most 2^bits / 32768 rows of 4 KB
+        out[(r.block - 1) * 4096 : r.block * 4096] = r.bits
+    return bytes(out[: max(1, 1 << (bits - 3))])
+
+
+def in_bitmap(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) a bitmap marks."""
+    place = hashes >> np.uint64(64 - (len(bitmap).bit_length() + 2))
+    marks = np.frombuffer(bitmap, np.uint8)
+    return ((marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def sieved(rows: DataFrame, hash_col: str, bitmap, wanted: bool = True) -> DataFrame:
+    """The rows whose hash a broadcast bitmap marks, or those that it doesn't; nothing
+    is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = b.column(b.schema.get_field_index(hash_col)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield b.filter(pa.array(in_bitmap(bitmap.value, hashes) == wanted))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is the empty text."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import materialise, slices, utf8
+from .common import bitmap_of, materialise, sieved, slices, utf8
 from .components import components
 from .substrings import _groups, _mix, word_hashes
 
@@ -109,15 +109,16 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, cls binary, size long, fp long, buckets array<long>")
 
 
-def sets_of(rows: DataFrame) -> DataFrame:
-    """(cls, items) of rows (id, text): the set itself, sorted."""
+def sets_of(rows: DataFrame, wanted) -> DataFrame:
+    """(cls, items) of the rows (id, text) whose ids a bitmap marks: the set, sorted."""
+    near = sieved(rows.withColumn("h", F.xxhash64("id")), "h", wanted).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
             sets = shingles(utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "items"])
 
-    return rows.mapInArrow(run, "cls binary, items array<long>").dropDuplicates(["cls"])
+    return near.mapInArrow(run, "cls binary, items array<long>")
 
 
 def with_class(rows: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -133,7 +134,9 @@ def with_class(rows: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes that are similar."""
-    beside = pairs.join(sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
+    # merged at every size, so that what a small table shows holds for a large one
+    x, y = sets.withColumnsRenamed({"cls": "a", "items": "x"}), sets.withColumnsRenamed({"cls": "b", "items": "y"})
+    beside = pairs.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     shared = beside.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
     return materialise(shared.where(f"{LEAST[1]} * n >= {LEAST[0]} * (both - n)").select("a", "b"))
 
@@ -175,8 +178,9 @@ def links(rows: DataFrame, found: DataFrame, least: DataFrame) -> DataFrame:
     nearest = stars.groupBy("cls").agg(F.max_by("head", F.struct("shared", "head")).alias("head"))
     pairs = materialise(nearest.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).unionByName(near_fingerprints(one)).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(met.select("cls")).distinct()
-    ids = least.join(asked, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
-    sets = materialise(sets_of(rows.join(ids, "id", "left_semi")).join(asked, "cls", "left_semi"))
+    ids = least.join(asked, "cls", "left_semi").select(F.xxhash64("least").alias("h"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(ids, "h"))
+    sets = materialise(sets_of(rows, wanted).join(asked.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]))
     known = confirmed(pairs, sets)
     # other heads, of classes that are still apart from them
     apart = rooted(stars, components(known), "cls", "head").select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
@@ -239,17 +243,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joined = least.join(roots, least.cls == roots.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     firsts = joined.groupBy("root").agg(F.min(F.struct("least", "cls")).alias("first")).select(F.col("first.least").alias("id"), F.col("first.cls").alias("cls"))
     rows_of = found.groupBy("id", "cls").agg(F.count(F.lit(1)).alias("rows"))
-    return one_row_each(docs, materialise(firsts.join(rows_of, ["id", "cls"])), id_col, text_col)
+    kept = materialise(rows_of.join(firsts.withColumn("stays", F.lit(True)), ["id", "cls"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))))
+    return one_row_each(docs, kept, id_col, text_col)
 
 
 def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of ``docs`` one row for each of ``kept`` (id, cls, rows), and the rows without an
-    id. Where more rows have this id and class, the least by content stays."""
-    mark, own = "_class", [F.col(f"`{c}`") for c in docs.columns]
-    of = kept.select(F.col("id").alias("_id"), F.col("cls").alias("_cls"), "rows").withColumnRenamed("rows", "_rows")
-    asked = docs.join(of.select("_id").distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
-    named = with_class(asked, text_col, mark).join(of, (F.col(f"`{id_col}`") == F.col("_id")) & (F.col(mark) == F.col("_cls")))
-    alone = named.where("_rows = 1").select(*own)
+    """Of ``docs`` one row for each (id, cls) of ``kept`` (id, cls, rows, stays) that
+    stays, and the rows without an id. Where more rows have this id and class, the least
+    by content stays. A bitmap tells rows of which some go from the others, which are not
+    shuffled."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful = kept.where("NOT stays OR rows > 1")
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(doubtful.select(F.xxhash64("id", "cls").alias("h")), "h"))
+    named = with_class(docs.where(F.col(f"`{id_col}`").isNotNull()), text_col, "_class").withColumn("_h", F.xxhash64(F.col(f"`{id_col}`"), F.col("_class")))
+    sure = sieved(named, "_h", marked, wanted=False).select(*own)
+    of = kept.where("stays").select(F.col("id").alias("_id"), F.col("cls").alias("_cls"), F.col("rows").alias("_rows"))
+    asked = sieved(named, "_h", marked).join(of.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_class") == F.col("_cls")))
     whole = F.struct(*own)
-    several = named.where("_rows > 1").groupBy("_id", "_cls").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-    return alone.unionByName(several).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    several = asked.groupBy("_id", "_cls").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return sure.unionByName(several).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

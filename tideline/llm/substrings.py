@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, utf8
+from .common import bitmap_of, in_bitmap, materialise, slices, table, utf8
 
 WINDOW = 13
 SEED_WORDS = 5
@@ -181,16 +181,6 @@ def recurring_seeds(rows: DataFrame, window: int) -> DataFrame:
     return found.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("places")).where("lo < hi").select("seed", "places")
 
 
-def seed_bitmap(seeds: DataFrame, bits: int) -> bytes:
-    """Bitmap of the seeds' leading bits; its size depends on ``bits`` alone."""
-    place = F.shiftrightunsigned("seed", 64 - bits) + 1
-    rows = seeds.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = bytearray(max(4096, 1 << (bits - 3)))
-    for r in rows.collect():  # at most 2^bits / 32768 rows of 4 KB
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
-    return bytes(out)
-
-
 def hot_seeds(seeds: DataFrame, places: int, most: int) -> np.ndarray:
     """The seeds that stand in more than ``places`` places, sorted; the ``most`` of
     these with most places at most (8 bytes each)."""
@@ -202,17 +192,15 @@ def hot_seeds(seeds: DataFrame, places: int, most: int) -> np.ndarray:
 SEGMENTS = "key long, words binary, doc long, mark long, pos long, n long"
 
 
-def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndarray], bits: int, window: int) -> Iterator[pa.RecordBatch]:
+def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndarray], window: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``SEGMENTS`` from rows (id, mark, text)."""
     bitmap, hot = marked
-    marks_of = np.frombuffer(bitmap, np.uint8)
     for b in slices(batches, "text", SLICE_BYTES):
         ids, marks, texts = _named(b)
         w = Windows(texts, window)
         if not len(w):
             continue
-        place = w.seed >> np.uint64(64 - bits)
-        hit = np.flatnonzero((marks_of[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+        hit = np.flatnonzero(in_bitmap(bitmap, w.seed))
         if not len(hit):
             continue
         key, text, at = w.seed[hit], w.doc[hit], w.at[hit]
@@ -249,9 +237,9 @@ def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndar
         )
 
 
-def segments(rows: DataFrame, marked, bits: int, window: int) -> DataFrame:
+def segments(rows: DataFrame, marked, window: int) -> DataFrame:
     """The segments under marked seeds, each under its key."""
-    return rows.mapInArrow(lambda batches: segment_rows(batches, marked.value, bits, window), SEGMENTS)
+    return rows.mapInArrow(lambda batches: segment_rows(batches, marked.value, window), SEGMENTS)
 
 
 Place = tuple[bytes, int, int, int]  # a segment's words, and where it stands: doc, mark, pos
@@ -394,8 +382,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"`{text_col}` AS text").withColumn("mark", F.xxhash64("text"))
     seeds = materialise(recurring_seeds(rows, window))
-    marked = spark.sparkContext.broadcast((seed_bitmap(seeds, bitmap_bits), hot_seeds(seeds, hot_places, HOT_SEEDS)))
-    spans = spans_of(segments(rows, marked, bitmap_bits, window), window, shard_bytes)
+    marked = spark.sparkContext.broadcast((bitmap_of(seeds, "seed", bitmap_bits), hot_seeds(seeds, hot_places, HOT_SEEDS)))
+    spans = spans_of(segments(rows, marked, window), window, shard_bytes)
     # rows that repeat a text under one id share its spans
     grouped = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
     return rows.join(grouped.withColumnRenamed("mark", "of"), (F.col("id") == F.col("doc")) & (F.col("mark") == F.col("of")), "left").select("id", "text", "spans")

@@ -40,13 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, texts
-from .substrings import seed_bitmap
+from .common import BITMAP_BITS, bitmap_of, in_bitmap, materialise, sieved, slices, table, texts
 from .tokens import Recent
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
-BITMAP_BITS = 26
 SLICE_BYTES = 2 << 20
 #: Words of a generation of which a worker keeps the hashes.
 KEPT_WORDS = 100_000
@@ -193,11 +191,10 @@ def candidates(rows: DataFrame, seeds: DataFrame, min_match: int, threshold: flo
     """(mark, item): texts of ``rows`` (mark, text) that meet enough of an item's seeds."""
     spark = rows.sparkSession
     lengths = [r.words for r in seeds.where(f"words < {min_match}").select("words").distinct().collect()]  # at most four
-    shared = spark.sparkContext.broadcast((seed_bitmap(seeds, bits), sorted({*lengths, min_match})))
+    shared = spark.sparkContext.broadcast((bitmap_of(seeds, "seed", bits), sorted({*lengths, min_match})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, lengths = shared.value
-        marks = np.frombuffer(bitmap, np.uint8)
         for b in slices(batches, "text", SLICE_BYTES):
             names, found = [], []
             known: set[str] = set()
@@ -208,8 +205,7 @@ def candidates(rows: DataFrame, seeds: DataFrame, min_match: int, threshold: flo
                 values = hashed(tokens(text))
                 for length in lengths:
                     seeds = run_hashes(values, length)
-                    place = seeds >> np.uint64(64 - bits)
-                    hit = np.unique(seeds[((marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)])
+                    hit = np.unique(seeds[in_bitmap(bitmap, seeds)])
                     names += [mark] * len(hit)
                     found.append(hit)
             if names:
@@ -227,7 +223,10 @@ def candidates(rows: DataFrame, seeds: DataFrame, min_match: int, threshold: flo
 
 def tiled(rows: DataFrame, items: DataFrame, pairs: DataFrame, min_match: int, threshold: float) -> DataFrame:
     """(mark, item, coverage, n_tiles, n_tokens) of the pairs that reach the threshold."""
-    own = rows.join(pairs.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.lit(None).cast("string").alias("item"), "text")
+    # texts that are no candidates stay where they are
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.xxhash64("mark").alias("h")), "h"))
+    near = sieved(rows.withColumn("h", F.xxhash64("mark")), "h", wanted).drop("h")
+    own = near.join(pairs.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.lit(None).cast("string").alias("item"), "text")
     theirs = pairs.join(items.withColumnRenamed("mark", "item"), "item").select("mark", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +274,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     of = lambda df, c: df.select(F.md5(f"`{c}`").alias("mark"), F.col(f"`{c}`").alias("text"))
     found = found_in(of(docs, text_col), of(benchmark, item_text_col), min_match, threshold, bits)
     bad = found.select(F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, F.md5(F.col(f"`{text_col}`")) == F.col("_mark"), "left_anti")
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(bad.select(F.xxhash64("_mark").alias("h")), "h"))
+    hashed_ = docs.withColumn("_h", F.xxhash64(F.md5(F.col(f"`{text_col}`"))))
+    suspect, clean = (sieved(hashed_, "_h", marked, wanted).drop("_h") for wanted in (True, False))
+    return clean.unionByName(suspect.join(bad, F.md5(F.col(f"`{text_col}`")) == F.col("_mark"), "left_anti"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
