@@ -45,7 +45,7 @@ def test_zip_that_others_wrote(comment):
         z.comment = comment
     data = out.getvalue()
     found = warc.members(io.BytesIO(data), len(data))
-    assert set(found) == {"s.bin", "big.bin"}
+    assert found.pop("d.bin")[0] is None and set(found) == {"s.bin", "big.bin"}
     assert all(data[a : a + n] == want for (a, n), want in ((found["s.bin"], b"stored"), (found["big.bin"], b"wide")))
     for broken in (b"", b"no archive", data[:-30]):
         with pytest.raises(ValueError):
@@ -62,6 +62,60 @@ def test_record_round_trip():
         warc.parse_record(b"junk\r\n\r\n")
 
 
+def record(i: int, kind: str = "response", extra: str = "") -> bytes:
+    body = b"HTTP/1.1 200 OK\r\nX-A: b\r\n\r\npage %d" % i if kind == "response" else b"software: other\r\n"
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://h/{i}\r\n{extra}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def package(folder, name: str, parts: dict[str, bytes], deflated=()) -> str:
+    path = folder / name
+    with zipfile.ZipFile(path, "w") as z:
+        for n, data in parts.items():
+            z.writestr(zipfile.ZipInfo(n), data, zipfile.ZIP_DEFLATED if n in deflated else zipfile.ZIP_STORED)
+    return f"file://{path}"
+
+
+def test_packages_of_other_tools(spark, tmp_path):
+    zipped = [gzip.compress(record(i, extra="X-Folded: one\r\n two\r\n")) for i in range(5)]
+    plain = [record(9, "warcinfo"), *[record(i) for i in range(5, 8)]]
+    starts = [sum(map(len, zipped[:i])) for i in range(5)]
+    cdxj = "".join(f'com,h)/{i} 20200101000000 {{"url": "http://h/{i}", "filename": "a.warc.gz", "offset": "{starts[i]}", "length": "{len(zipped[i])}"}}\n' for i in (3, 0, 1, 2, 4))
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"k 2020 http://h/{i} text/html 200 X - - {len(zipped[i])} {starts[i]} a.warc.gz\n" for i in range(5))
+    urls = [
+        package(tmp_path, "1.wacz", {"archive/a.warc.gz": b"".join(zipped), "indexes/index.cdxj": cdxj.encode(), "archive/b.warc": b"".join(plain), "pages/pages.jsonl": b"{}"}, ["pages/pages.jsonl"]),
+        package(tmp_path, "2.wacz", {"archive/a.warc.gz": b"".join(zipped), "indexes/index.cdx": cdx.encode()}),
+        package(tmp_path, "3.wacz", {"data.warc.gz": b"".join(zipped)}),
+    ]
+    got = warc.read_archives(spark.createDataFrame([(u, None) for u in urls], "archive string, records long")).collect()
+    assert sorted(r.url for r in got if r.record_type == "response") == sorted([f"http://h/{i}" for i in range(8)] + [f"http://h/{i}" for i in range(5)] * 2)
+    assert [r.payload for r in got if r.record_type == "warcinfo"] == [b"software: other\r\n"]
+    assert all(r.payload == b"page " + r.url[-1:].encode() and r.payload_digest == hashlib.sha1(r.payload).hexdigest() for r in got if r.record_type == "response")
+
+
+def test_packages_at_fault(tmp_path):
+    one = gzip.compress(record(1))
+    faulty = {
+        "deflated": ({"a.warc.gz": one * 50}, ["a.warc.gz"]),
+        "none": ({"a.txt": b"x"}, []),
+        "short": ({"a.warc.gz": one[:-9]}, []),
+        "behind": ({"a.warc.gz": one, "i.cdxj": b'k 1 {"filename": "a.warc.gz", "offset": 0, "length": 9999}'}, []),
+        "junk": ({"a.warc": b"junk"}, []),
+    }
+    for name, (parts, deflated) in faulty.items():
+        store, path = fs.FileSystem.from_uri(package(tmp_path, name, parts, deflated))
+        with store.open_input_file(path) as file, pytest.raises(ValueError):
+            list(warc.located(file, file.size()))
+    with pytest.raises(ValueError):
+        warc.parse_record(b"WARC/1.0\r\nno colon here\r\nContent-Length: 0\r\n\r\n")
+    with pytest.raises(ValueError):
+        warc.parse_record(b"WARC/1.0\r\nA: b\r\n\r\n")
+
+
+def test_record_names():
+    a, b = b"1" * 20, b"2" * 20
+    assert len({warc.record_urn(1, a), warc.record_urn(1, b), warc.record_urn(2, a), warc.record_urn(None, a, "0:x:1"), warc.record_urn(None, a, "0:x:2")}) == 5
+
+
 def want_of(rows):
     digest = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
     largest: dict = {}
