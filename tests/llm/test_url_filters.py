@@ -94,6 +94,6 @@ def test_plan_has_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("name", ["op5_url_filters", "op8_warc"])
+@pytest.mark.parametrize("name", ["op5_url_filters", "op8_warc", "op9_substring_dedup"])
 def test_against_sql(spark, name):
     assert compare(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name]) == ""
