@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -56,6 +57,14 @@ def test_bundle(spark, inputs):
     assert s.count() == 241 and samples.through(s, "2020-12-01").count() > 100
 
 
+def test_cutoff(spark, inputs):
+    b = evaluation.load(spark, inputs, "2010-06-14")
+    last = b.monthly.orderBy("month", ascending=False).first()
+    assert last.month == dt.date(2010, 6, 1) and b.monthly.count() == 126
+    whole = evaluation.load(spark, inputs).monthly.where("month = DATE'2010-06-01'").first()
+    assert last.shipping_trading_days < whole.shipping_trading_days
+
+
 def test_missing_source(spark, inputs):
     import dataclasses
 
@@ -68,6 +77,8 @@ def test_run(spark, inputs, tmp_path):
     files = evaluation.run(spark, inputs, config, f"file://{tmp_path}/out", {"epochs": 25, "patience": 10}, candidates=evaluation.sarima.CANDIDATES[:2])
     names = {r.path.split("/out/")[1].split("/")[0] for r in files.collect()}
     assert {"predictions.csv", "scores.csv", "backtest.csv", "report.md", "results.json", "target.svg", "audit.json", "monthly.csv"} <= names
+    whole = json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/out/results.json").collect()))
+    assert {"audit", "scores", "tuning", "stationarity", "linkage_correlations", "predictions", "intervals", "models"} <= set(whole) and len(whole["intervals"]) == 12
     p = spark.read.option("header", True).csv(f"file://{tmp_path}/out/predictions.csv").orderBy("year_month").collect()
     assert len(p) == 12 and p[0].year_month == "2024-01" and p[-1].year_month == "2024-12"
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/backtest.csv").count() == 2 * 12 * 3
