@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import bitmap_of, materialise, sieved, slices, utf8
+from .common import bitmap_of, in_bitmap, materialise, slices, utf8
 from .components import components
 from .substrings import _groups, _mix, word_hashes
 
@@ -111,23 +111,32 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def sets_of(rows: DataFrame, wanted) -> DataFrame:
     """(cls, items) of the rows (id, text) whose ids a bitmap marks: the set, sorted."""
-    near = sieved(rows.withColumn("h", F.xxhash64("id")), "h", wanted).select("text")
+    near = rows.select(F.xxhash64("id").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
+            hashes = b.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            b = b.filter(pa.array(in_bitmap(wanted.value, hashes)))
             sets = shingles(utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "items"])
 
     return near.mapInArrow(run, "cls binary, items array<long>")
 
 
-def with_class(rows: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``rows`` with the class of each text in one more column."""
+#: SQL: a class's first 8 bytes as a signed long, as :func:`with_class` reads them.
+CLASS_HASH = "cast(conv(hex(substring(cls, 1, 8)), 16, -10) AS long)"
+
+
+def with_class(rows: DataFrame, text_col: str, name: str, bitmap, wanted: bool) -> DataFrame:
+    """``rows`` with the class of each text in one more column, those whose class a
+    bitmap marks, or those whose it doesn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, SLICE_BYTES):
-            found = pa.array(map(digest, shingles(utf8(b.column(b.schema.get_field_index(text_col))))), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, name])
+            found = list(map(digest, shingles(utf8(b.column(b.schema.get_field_index(text_col))))))
+            hashes = np.frombuffer(b"".join(d[:8] for d in found), ">u8").astype(np.uint64)
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, name])
+            yield out.filter(pa.array(in_bitmap(bitmap.value, hashes) == wanted))
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())]))
 
@@ -254,11 +263,11 @@ def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -
     shuffled."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     doubtful = kept.where("NOT stays OR rows > 1")
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(doubtful.select(F.xxhash64("id", "cls").alias("h")), "h"))
-    named = with_class(docs.where(F.col(f"`{id_col}`").isNotNull()), text_col, "_class").withColumn("_h", F.xxhash64(F.col(f"`{id_col}`"), F.col("_class")))
-    sure = sieved(named, "_h", marked, wanted=False).select(*own)
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(doubtful.select(F.expr(CLASS_HASH).alias("h")), "h"))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    sure = with_class(named, text_col, "_class", marked, wanted=False).select(*own)
     of = kept.where("stays").select(F.col("id").alias("_id"), F.col("cls").alias("_cls"), F.col("rows").alias("_rows"))
-    asked = sieved(named, "_h", marked).join(of.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_class") == F.col("_cls")))
+    asked = with_class(named, text_col, "_class", marked, wanted=True).join(of.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_class") == F.col("_cls")))
     whole = F.struct(*own)
     several = asked.groupBy("_id", "_cls").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
     return sure.unionByName(several).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
