@@ -59,6 +59,43 @@ def test_tree_stays_flat():
     assert depth(kept.root) < 10 and kept.n_tokens == plain(kept.text())
 
 
+def test_nodes_of_an_edit():
+    """Single edits enter or make O(log n) nodes in short and in long texts, and edits in
+    one batch fewer."""
+    for size, most in ((50_000, 60), (5_000_000, 100)):
+        text = ("some words 12 in a row, " * (size // 24 + 1))[:size]
+        changes = [(i * (size // 5000), i * (size // 5000) + 2, "0") for i in range(5000)]
+        kept = tc.CountedText(text, COUNTS)
+        before = kept.touched
+        for start, end, new in reversed(changes):
+            kept.replace(start, end, new)
+        single = (kept.touched - before) / 5000
+        again = tc.CountedText(text, COUNTS)
+        before = again.touched
+        again.apply(changes)
+        assert single < most and (again.touched - before) / 5000 < most / 2
+        assert again.text() == kept.text() and again.n_tokens == kept.n_tokens == plain(kept.text())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab '12 \n\t.!lré", max_size=300), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9), st.text(alphabet="a '1 \n.lé", max_size=5)), max_size=30))
+def test_batches_as_full_count(text, steps):
+    changes, at = [], 0
+    for gap, n, new in steps:
+        start = min(at + gap, len(text))
+        at = min(start + n, len(text))
+        changes.append((start, at, new))
+    after, at = "", 0
+    for a, b, new in changes:
+        after += text[at:a] + new
+        at = b
+    after += text[at:]
+    kept = tc.CountedText(text, COUNTS)
+    kept.apply(changes)
+    assert kept.text() == after and len(kept) == len(after) and kept.n_tokens == plain(after)
+    assert kept.root.tokens == sum(leaf.tokens for leaf in kept._under(kept.root))
+
+
 def test_rows(spark):
     rows = [(1, "call 12345 or 99 now%%% ok"), (1, "call 12345 or 99 now%%% ok"), (2, None), (3, ""), (None, "x1"), (4, "a1b22 " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS id")

@@ -6,9 +6,12 @@ under a segment tree whose nodes hold characters and tokens, so the count of the
 is at the root and the leaf at an offset is found in O(log n). An edit re-encodes
 from the last cut that no changed character could have moved (the pattern looks at
 most one character past a cut) up to the first cut after the edit that old and new
-text share, and updates the sums above these leaves only. New pre-tokens become leaves
-of the usual size, and a node that leans to one side is built anew, so the tree stays
-flat whatever is put in. Texts without edits are counted without a tree.
+text share. Edits are applied in batches: those whose context meets are one region, and
+all regions are put in by one walk that enters only the nodes above them and updates
+their sums on its way back. A subtree is built at its middle, so it takes a number of
+new leaves in proportion to its size until one side leans too far and it is built
+anew: an edit costs O(log n) nodes, amortised. Texts without edits are counted without
+a tree.
 
 Each document is counted alone in one Python worker, so nothing is shuffled.
 
@@ -54,7 +57,7 @@ def part_counts(path: str) -> PartCounts:
     return PartCounts(path)
 
 
-#: Pre-tokens of a leaf.
+#: Pre-tokens of a leaf as it is built; it is split when it holds twice as many.
 LEAF = 8
 #: A node of which one child holds more than this share of its leaves is built anew.
 LEAN = 0.7
@@ -77,23 +80,37 @@ class Node:
         self.chars, self.tokens, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.leaves + b.leaves
 
 
+Edit = tuple[int, int, str]
+#: A stretch of old text between cuts (start, end), and the pre-tokens that replace it.
+Region = tuple[int, int, list[str]]
+
+
 class CountedText:
     """A text whose token count follows its edits."""
 
     def __init__(self, text: str, counts: PartCounts) -> None:
         self.counts = counts
         self.encoded = 0  # pre-tokens encoded again by edits
+        self.touched = 0  # nodes entered or made
         self.root = self._built(self._leaves(counts.cut(text)))
 
     def _leaves(self, parts: list[str]) -> list[Node]:
-        count = self.counts.__getitem__
-        return [Node(parts=own, tokens=sum(map(count, own))) for own in (parts[i : i + LEAF] for i in range(0, len(parts), LEAF))] or [Node(parts=[])]
+        count, n = self.counts.__getitem__, len(parts)
+        lots = max(1, n // LEAF)
+        cuts = [n * i // lots for i in range(lots + 1)]
+        return [Node(parts=own, tokens=sum(map(count, own))) for own in (parts[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True))]
 
     def _built(self, nodes: list[Node]) -> Node:
-        """A tree over nodes, with as many levels as it needs."""
-        while len(nodes) > 1:
-            nodes = [Node(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
-        return nodes[0]
+        """A tree over nodes, every one split at its middle."""
+        self.touched += 2 * len(nodes) - 1
+
+        def over(lo: int, hi: int) -> Node:
+            if hi - lo == 1:
+                return nodes[lo]
+            middle = (lo + hi) // 2
+            return Node(over(lo, middle), over(middle, hi))
+
+        return over(0, len(nodes))
 
     def __len__(self) -> int:
         return self.root.chars
@@ -125,6 +142,7 @@ class CountedText:
             node, begin = open_.pop()
             if begin + node.chars <= start and node.chars or begin > end:
                 continue
+            self.touched += 1
             if node.parts is None:
                 open_ += ((node.right, begin + node.left.chars), (node.left, begin))
                 continue
@@ -137,92 +155,103 @@ class CountedText:
 
     def replace(self, start: int, end: int, new: str) -> None:
         """Put ``new`` in the place of the characters start..end (as they are now)."""
-        total = len(self)
-        if not 0 <= start <= end <= total:
-            raise IndexError((start, end, total))
-        reach = 16
+        self.apply([(start, end, new)])
+
+    def apply(self, edits: list[Edit]) -> None:
+        """Edits in order and without overlap, all in places of the text as it is now."""
+        at = 0
+        for start, end, _ in edits:
+            if not at <= start <= end <= len(self):
+                raise IndexError((start, end, len(self)))
+            at = end
+        regions: list[Region] = []
+        i = 0
+        while i < len(edits):
+            region, i = self._region(edits, i, regions[-1][1] if regions else 0)
+            regions.append(region)
+        if regions:
+            self.root = self._put(self.root, 0, regions, True) or Node(parts=[])
+
+    def _region(self, edits: list[Edit], first: int, least: int) -> tuple[Region, int]:
+        """What edit ``first`` and those whose context meets its own change, from the cut
+        ``least`` on at the earliest; and the number of the next edit."""
+        total, last, reach, gap = len(self), first + 1, 16, 32
+        start = edits[first][0]
         while True:
-            # what the pattern can have looked at before the edit, and enough after it to
-            # find a cut that old and new text share
-            old, base = self._slice(max(0, start - 2), min(total, end + reach))
+            while last < len(edits) and edits[last][0] <= edits[last - 1][1] + reach + gap:
+                last += 1
+            # what the pattern can have looked at before the edits, and enough after them
+            # to find a cut that old and new text share
+            old, base = self._slice(max(least, start - 2), min(total, edits[last - 1][1] + reach))
             to = base + sum(map(len, old))
-            whole = "".join(old)
-            parts = self.counts.cut(whole[: start - base] + new + whole[end - base :])
+            if last < len(edits) and edits[last][0] <= to:
+                gap *= 2
+                while last < len(edits) and edits[last][0] <= to:
+                    last += 1
+                continue
+            whole, pieces, at = "".join(old), [], base
+            for a, b, new in edits[first:last]:
+                pieces += [whole[at - base : a - base], new]
+                at = b
+            parts = self.counts.cut("".join([*pieces, whole[at - base :]]))
+            end = edits[last - 1][1]
             if to >= total:
                 break
-            shift, at, cuts = len(new) - (end - start), base, {}
-            for i, p in enumerate(parts):
+            shift, at, cuts = sum(len(new) - (b - a) for a, b, new in edits[first:last]), base, {}
+            for n, p in enumerate(parts):
                 at += len(p)
-                cuts[at - shift] = i + 1
+                cuts[at - shift] = n + 1
             shared, at = None, base
-            for i, p in enumerate(old):
+            for n, p in enumerate(old):
                 at += len(p)
                 if end <= at <= to - 2 and at in cuts:
-                    shared = (i + 1, cuts[at], at)
+                    shared = (cuts[at], at)
                     break
             if shared:
-                old, parts, to = old[: shared[0]], parts[: shared[1]], shared[2]
+                parts, to = parts[: shared[0]], shared[1]
                 break
             reach *= 4
         self.encoded += len(parts)
-        self.root = self._put(self.root, 0, base, to, parts)
-
-    def _put(self, node: Node, begin: int, start: int, end: int, parts: list[str]) -> Node:
-        """``node`` with ``parts`` in the place of the pre-tokens start..end."""
-        path: list[tuple[Node, bool]] = []
-        while node.parts is None:
-            cut = begin + node.left.chars
-            if end <= cut and not (start == cut == end):
-                path.append((node, True))
-                node = node.left
-            elif start >= cut:
-                path.append((node, False))
-                node, begin = node.right, cut
-            else:
-                break
-        # the whole change lies below this node: its leaves outside stay
-        leaves: list[Node] = []
-        at, put = begin, False
-        for leaf in self._under(node):
-            to = at + leaf.chars
-            if to < start or at > end or (to == start < end and leaf.chars) or (at == end > start and leaf.chars):
-                if not put and at >= end:
-                    leaves += self._leaves(parts) if parts else []
-                    put = True
-                leaves.append(leaf)
-            else:
-                before, after, p_at = [], [], at
-                for p in leaf.parts:
-                    if p_at + len(p) <= start:
-                        before.append(p)
-                    elif p_at >= end:
-                        after.append(p)
-                    p_at += len(p)
-                own = [*before, *([] if put else parts), *after]
-                put = True
-                leaves += self._leaves(own) if own else []
-            at = to
-        if not put:
-            leaves += self._leaves(parts) if parts else []
-        node = self._built(leaves or [Node(parts=[])])
-        for parent, left in reversed(path):
-            if left:
-                parent.left = node
-            else:
-                parent.right = node
-            parent.sum_up()
-            node = parent
-            if parent.leaves > 4 and max(parent.left.leaves, parent.right.leaves) > LEAN * parent.leaves:
-                node = self._built(list(self._under(parent)))
+        return (base, to, parts), last
+
+    def _put(self, node: Node, begin: int, regions: list[Region], is_last: bool) -> Node | None:
+        """``node``, which begins at ``begin``, with the regions that touch it put in: what
+        a region brings goes to the leaf in which it begins. None if nothing is left."""
+        self.touched += 1
+        if node.parts is not None:
+            own, at, put, gone, n = [], begin, 0, 0, len(regions)
+            for p in node.parts:
+                while put < n and regions[put][0] <= at:
+                    own += regions[put][2] if regions[put][0] >= begin else []
+                    put += 1
+                while gone < n and regions[gone][1] <= at:
+                    gone += 1
+                if gone == n or regions[gone][0] > at:
+                    own.append(p)
+                at += len(p)
+            for _, _, new in regions[put:] if is_last else ():
+                own += new
+            return self._built(self._leaves(own)) if own else None
+        cut = begin + node.left.chars
+        left = [r for r in regions if r[0] < cut]
+        right = [r for r in regions if r[1] > cut or r[0] >= cut]
+        a = self._put(node.left, begin, left, False) if left else node.left
+        b = self._put(node.right, cut, right, is_last) if right else node.right
+        if a is None or b is None:
+            return a or b
+        node.left, node.right = a, b
+        node.sum_up()
+        if node.leaves > 4 and max(a.leaves, b.leaves) > LEAN * node.leaves:
+            return self._built(list(self._under(node)))
         return node
 
 
-Edits = Callable[[str], Iterable[tuple[int, int, str]]]
+Edits = Callable[[str], Iterable[Edit]]
 
 _CLEANED = re.compile(r"[0-9]{2,}|[%*$&#]{3}")
 
 
-def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
+def cleaning_edits(text: str) -> list[Edit]:
     """The edits that the query applies: digit runs become one zero, triple junk
     signs go."""
     return [(m.start(), m.end(), "0" if m[0][0].isdigit() else "") for m in _CLEANED.finditer(text)]
@@ -245,12 +274,9 @@ def count_edits(docs: DataFrame, edits: Edits = cleaning_edits, tokenizer: str |
                     out.append((plain, 0, plain, 0))
                     continue
                 kept = CountedText(text, counts)
-                before, shift, n = kept.n_tokens, 0, 0
-                for start, end, new in changes:
-                    kept.replace(start + shift, end + shift, new)
-                    shift += len(new) - (end - start)
-                    n += 1
-                out.append((before, n, kept.n_tokens, kept.encoded))
+                before = kept.n_tokens
+                kept.apply(changes)
+                out.append((before, len(changes), kept.n_tokens, kept.encoded))
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, pa.int64()) for c in zip(*out, strict=True)]], names=["id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded_again"])
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
