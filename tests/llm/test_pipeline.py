@@ -60,6 +60,10 @@ def test_run(spark):
     assert out.count() > 100 and "sequence_id" in out.columns
 
 
+#: Names that stages use inside, as they are or in other letters.
+INTERNAL = "_class _id _CLS _rows _row _mark _h h mark cls stays rows bad least root first items buckets at lot bin length offset sequence_id start doc".split()
+
+
 def odd_documents(spark):
     rows = [
         (1, "a plain text of some words", "en", "s", 26),
@@ -71,7 +75,7 @@ def odd_documents(spark):
         (5, "another text with a number 4111111111111111", "en", "s", 43),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return docs.selectExpr("*", "1 AS id", "'a' AS fp", "2 AS component_id", "'b' AS score", "'c' AS item", "3 AS uid", "'d' AS spans", "'e' AS piece", "4 AS toxic")
+    return docs.selectExpr("*", "1 AS id", "'a' AS fp", "2 AS component_id", "'b' AS score", "'c' AS item", "3 AS uid", "'d' AS spans", "'e' AS piece", "4 AS toxic", *[f"'{i}' AS `{c}`" for i, c in enumerate(INTERNAL)])
 
 
 def test_odd_documents(spark):
@@ -83,6 +87,7 @@ def test_odd_documents(spark):
         counts.append(docs.count())
         if name != "best_fit_packing":
             assert docs.columns == columns
+            assert {tuple(r[c] for c in INTERNAL) for r in docs.collect()} == {tuple(str(i) for i in range(len(INTERNAL)))}
         if name == "pii":
             texts = {r.doc_id: r.text for r in docs.collect()}
             assert texts[None] == "mail me <EMAIL>" and texts[5] == "another text with a number <CARD>" and texts.get(2) is None

@@ -55,6 +55,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to differ from all
+    of ``taken`` (whatever the case) and from each other."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``max_bytes`` in each; a longer
     single text stays whole."""

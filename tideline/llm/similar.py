@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import bitmap_of, in_bitmap, materialise, slices, utf8
+from .common import bitmap_of, free_names, in_bitmap, materialise, slices, utf8
 from .components import components
 from .substrings import _groups, _mix, word_hashes
 
@@ -262,12 +262,13 @@ def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -
     by content stays. A bitmap tells rows of which some go from the others, which are not
     shuffled."""
     own = [F.col(f"`{c}`") for c in docs.columns]
+    class_, id_, cls, rows, row = free_names(docs.columns, "_class", "_id", "_cls", "_rows", "_row")
     doubtful = kept.where("NOT stays OR rows > 1")
     marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(doubtful.select(F.expr(CLASS_HASH).alias("h")), "h"))
     named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    sure = with_class(named, text_col, "_class", marked, wanted=False).select(*own)
-    of = kept.where("stays").select(F.col("id").alias("_id"), F.col("cls").alias("_cls"), F.col("rows").alias("_rows"))
-    asked = with_class(named, text_col, "_class", marked, wanted=True).join(of.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_class") == F.col("_cls")))
+    sure = with_class(named, text_col, class_, marked, wanted=False).select(*own)
+    of = kept.where("stays").select(F.col("id").alias(id_), F.col("cls").alias(cls), F.col("rows").alias(rows))
+    asked = with_class(named, text_col, class_, marked, wanted=True).join(of.hint("merge"), (F.col(f"`{id_col}`") == F.col(id_)) & (F.col(class_) == F.col(cls)))
     whole = F.struct(*own)
-    several = asked.groupBy("_id", "_cls").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    several = asked.groupBy(id_, cls).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
     return sure.unionByName(several).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

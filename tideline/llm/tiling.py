@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap_of, in_bitmap, materialise, sieved, slices, table, texts
+from .common import BITMAP_BITS, bitmap_of, free_names, in_bitmap, materialise, sieved, slices, table, texts
 from .tokens import Recent
 
 MIN_MATCH = 5
@@ -273,11 +273,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without the rows that cover an item."""
     of = lambda df, c: df.select(F.md5(f"`{c}`").alias("mark"), F.col(f"`{c}`").alias("text"))
     found = found_in(of(docs, text_col), of(benchmark, item_text_col), min_match, threshold, bits)
-    bad = found.select(F.col("mark").alias("_mark")).distinct()
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(bad.select(F.xxhash64("_mark").alias("h")), "h"))
-    hashed_ = docs.withColumn("_h", F.xxhash64(F.md5(F.col(f"`{text_col}`"))))
-    suspect, clean = (sieved(hashed_, "_h", marked, wanted).drop("_h") for wanted in (True, False))
-    return clean.unionByName(suspect.join(bad, F.md5(F.col(f"`{text_col}`")) == F.col("_mark"), "left_anti"))
+    mark, h = free_names(docs.columns, "_mark", "_h")
+    bad = found.select(F.col("mark").alias(mark)).distinct()
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap_of(bad.select(F.xxhash64(mark).alias("h")), "h"))
+    hashed_ = docs.withColumn(h, F.xxhash64(F.md5(F.col(f"`{text_col}`"))))
+    suspect, clean = (sieved(hashed_, h, marked, wanted).drop(h) for wanted in (True, False))
+    return clean.unionByName(suspect.join(bad, F.md5(F.col(f"`{text_col}`")) == F.col(mark), "left_anti"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
