@@ -5,8 +5,9 @@ last return the columns of ``documents``, and any others that came with them.
 
 Defined cases: null and empty texts are not toxic, hold no benchmark item and no
 personal data; they have equal shingles, so one of them stays; a row without an id
-passes all filters on its own; rows that repeat an id fall together in the second
-stage; an empty table stays empty; texts of any length are worked on whole."""
+passes all filters on its own; of rows that repeat an id those with equal shingles fall
+together in the second stage, and others stay; an empty table stays empty; texts of any
+length are worked on whole."""
 
 from __future__ import annotations
 
