@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, pii, simhash, substrings, tiling, token_counts, toxicity, url_filters, warc
+from . import ann, packing, pii, simhash, substrings, tiling, token_counts, toxicity, url_filters, variants, warc
 from .common import prepare
 
 
@@ -21,6 +21,7 @@ OPERATORS = (
     warc.op8_warc,
     substrings.op9_substring_dedup,
     token_counts.op10_token_counts,
+    variants.op11_spelling_variants,
 )
 
 
