@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,18 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 
 
+#: Arrow batches between Spark and its Python workers: they stand in both, several at once.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers that Spark starts on this machine import the package.
+    """Let Python workers that Spark starts on this machine import the package, and send
+    them batches of few bytes, unless the session asks for fewer still.
 
     On a cluster the package is shipped with ``--py-files`` or installed."""
+    plain = re.fullmatch("([0-9]+)b?", spark.conf.get(BATCH_CONF))
+    if plain and int(plain[1]) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
