@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, pii, simhash, substrings, tiling, token_counts, toxicity, url_filters, variants, warc
+from . import ann, chats, infill, packing, pii, simhash, substrings, tiling, token_counts, toxicity, url_filters, variants, warc
 from .common import prepare
 
 
@@ -22,6 +22,8 @@ OPERATORS = (
     substrings.op9_substring_dedup,
     token_counts.op10_token_counts,
     variants.op11_spelling_variants,
+    infill.op12_fill_in_middle,
+    chats.op13_chat_formatting,
 )
 
 
@@ -49,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.oracle(), "op8_warc": warc.ORACLE, "op9_substring_dedup": SUBSTRINGS_SQL}
+    return {"op5_url_filters": url_filters.oracle(), "op8_warc": warc.ORACLE, "op9_substring_dedup": SUBSTRINGS_SQL, "op12_fill_in_middle": infill.ORACLE, "op13_chat_formatting": chats.oracle()}
