@@ -232,13 +232,32 @@ def test_gru_by_groups_of_series(spark):
     rows = [(f"s{k}", dt.date(2000 + i // 12, i % 12 + 1, 1), np.sin(k + i / 3 + np.arange(6))[:, None].tolist(), [float(np.sin(k + i / 3 + 6)), 1.0]) for k in range(7) for i in range(60)]
     rows += [("short", dt.date(2000, 1, 1), rng.normal(size=(6, 1)).tolist(), [0.0, 1.0])]
     df = spark.createDataFrame(rows, "area string, origin date, x array<array<double>>, y array<double>").withColumn("year", F.when(F.col("area") == "short", 2).otherwise(1))
-    old = gru.GROUP_SERIES
     parts = gru.grouped(df, ["area"], 2)
-    assert parts.select("part").distinct().count() > 1 and parts.count() == 8 and old == 64
+    assert parts.select("part").distinct().count() > 1 and parts.count() == df.count() and gru.GROUP_SERIES == 64
     models = gru.train(df, ["year"], ["area"], epochs=3, validation=10).collect()
     assert {(m.year, m.model is None, m.reason) for m in models} == {(1, False, None), (2, True, "1 samples are too few")}
-    found = gru.predict(df, spark.createDataFrame(models, gru.train(df, ["year"], ["area"]).schema), ["year"], ["area", "origin"], ["area"]).collect()
+    kept = spark.createDataFrame(models, gru.train(df, ["year"], ["area"]).schema)
+    found = gru.predict(df, kept, ["year"], ["area", "origin"], ["area"]).collect()
     assert len(found) == 7 * 60 * 2 and {r.h for r in found} == {1, 2} and all(np.isfinite(r.predicted) for r in found)
+    assert {tuple(r) for r in gru.unscored(df, kept, ["year"], ["area"], ["area"]).collect()} == {("short", "1 samples are too few")}
+
+
+def test_gru_scores_by_own_network(spark):
+    """65 series in training and 64 (or other ones) in scoring: each by the network that
+    has learned from it."""
+    rows = [(f"s{k}" if k else None, dt.date(2000 + i // 12, i % 12 + 1, 1), np.sin(k + i / 3 + np.arange(4))[:, None].tolist(), [float(k)]) for k in range(65) for i in range(14)]
+    df = spark.createDataFrame(rows, "area string, origin date, x array<array<double>>, y array<double>").withColumn("year", F.lit(1))
+    models = gru.train(df, ["year"], ["area"], epochs=1, validation=10, hidden=4).collect()
+    assert len(models) == 2 and sum(len(m.members) for m in models) == 65
+    own = {member.area: gru.from_row(m.model) for m in models for member in m.members}
+    kept = spark.createDataFrame(models, gru.train(df, ["year"], ["area"]).schema)
+    late = df.where("origin = '2001-02-01' AND coalesce(area, '') <> 's7'").unionByName(df.where("area = 's9' AND origin = '2001-02-01'").withColumn("area", F.lit("new")))
+    found = {r.area: r.predicted for r in gru.predict(late, kept, ["year"], ["area"], ["area"]).collect()}
+    assert set(found) == {r.area for r in late.collect()} - {"new"} and len(found) == 64 and None in found
+    for r in late.collect():
+        if r.area != "new":
+            assert found[r.area] == pytest.approx(own[r.area].predict(np.array([r.x]))[0, 0], abs=1e-12)
+    assert [tuple(r) for r in gru.unscored(late, kept, ["year"], ["area"], ["area"]).collect()] == [("new", "no network has learned from this series")]
 
 
 def test_errors_name_what_is_missing(spark):

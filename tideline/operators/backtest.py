@@ -22,8 +22,10 @@ def naive_forecasts(df: DataFrame, keys: Sequence[str], target: str, fold: DataF
     return shifted.withColumn("year", F.year(month)).join(F.broadcast(fold.select("year")), "year").select(*keys, "year", month, "predicted")
 
 
-def sarima_forecasts(df: DataFrame, keys: Sequence[str], target: str, fold: DataFrame, candidates: Sequence, month: str = "month") -> DataFrame:
-    jobs = sarima.specs(df.sparkSession, candidates).crossJoin(fold)
+def sarima_forecasts(df: DataFrame, keys: Sequence[str], target: str, fold: DataFrame, candidates: Sequence | DataFrame, month: str = "month") -> DataFrame:
+    """``candidates`` are specs for every series, or a frame of specs with their keys."""
+    of = candidates if isinstance(candidates, DataFrame) else sarima.specs(df.sparkSession, candidates)
+    jobs = of.crossJoin(F.broadcast(fold))  # a handful of folds
     found = sarima.forecast_sarima(df, keys, target, jobs.drop("year"), month=month)
     return found.select(*keys, (F.year("origin") + 1).alias("year"), month, "predicted")
 

@@ -14,6 +14,8 @@ from .base import GRID_SQL, grid, lag_sql, query, yoy_sql
 K = ["area"]
 #: Years that every sf has whole, with enough months before them.
 YEARS = (1999, 2000)
+#: Years before them with two years behind them, as seasonal specifications need.
+TUNING = (1997, 1998)
 
 MOMENTS = """m AS (SELECT area, count(*) AS n, avg(y) my, avg(a) ma, avg(b) mb, covar_pop(a, a) saa, covar_pop(b, b) sbb, covar_pop(a, b) sab, covar_pop(a, y) say, covar_pop(b, y) sby, covar_pop(y, y) syy FROM k GROUP BY area),
 c AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS b1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS b2 FROM m)"""
@@ -115,17 +117,23 @@ def adf_kpss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sarima_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sarima.tuning_scores(grid(spark, sf_dir), K, "total", (1998,))
+    """All candidates over three years."""
+    return sarima.tuning_scores(grid(spark, sf_dir), K, "total", (*TUNING, YEARS[0]))
+
+
+def tuned(g: DataFrame) -> DataFrame:
+    """The specification of each area that does best on the years before the folds."""
+    return sarima.tuned(sarima.tuning_scores(g, K, "total", TUNING), K)
 
 
 @query()
 def sarima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = sarima.specs(spark, sarima.CANDIDATES[:1]).withColumn("origin", F.lit("1999-12-01").cast("date"))
-    return sarima.forecast_sarima(grid(spark, sf_dir), K, "total", jobs)
+    g = grid(spark, sf_dir)
+    return sarima.forecast_sarima(g, K, "total", tuned(g).withColumn("origin", F.lit("1999-12-01").cast("date")))
 
 
 NAMES = ["total", "mean", "month_sin", "month_cos"]
-TRAINING = {"epochs": 60, "patience": 20, "validation": 24}
+TRAINING = {"epochs": 500, "patience": 60, "validation": 24}
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +152,7 @@ def _forecasts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     g, fold = channels(spark, sf_dir), samples.folds(spark, YEARS)
     recurrent, _ = backtest.recurrent_forecasts(g, K, NAMES, "total", fold, 12, **TRAINING)
     return {
-        backtest.SARIMA: backtest.sarima_forecasts(g, K, "total", fold, sarima.CANDIDATES[:1]),
+        backtest.SARIMA: backtest.sarima_forecasts(g, K, "total", fold, tuned(g)),
         backtest.RECURRENT: recurrent,
         backtest.NAIVE: backtest.naive_forecasts(g, K, "total", fold),
     }
