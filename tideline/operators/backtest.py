@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru, metrics, samples, sarima
-from .features import by_month
 
 SARIMA, RECURRENT, NAIVE = "SARIMA", "GRU", "Seasonal naive"
 #: The naive forecast is a yardstick and cannot win; a tie goes to the first.
@@ -33,11 +32,9 @@ def sarima_forecasts(df: DataFrame, keys: Sequence[str], target: str, fold: Data
 def recurrent_forecasts(channels: DataFrame, keys: Sequence[str], names: Sequence[str], target: str, fold: DataFrame, context: int, horizon: int = 12, month: str = "month", **options) -> tuple[DataFrame, DataFrame]:
     """Forecasts (keys, year, month, predicted) and the models: one for each fold and
     group of series, trained on samples whose label window ended by the origin."""
-    w = by_month(keys, month)
-    both = channels.select(*keys, F.col(month).alias("origin"), F.add_months(month, horizon).alias("label_end"), samples.context_window(names, context, w).alias("x"), samples.label_window(target, horizon, w).alias("y"))
-    full = both.where(F.forall("x", lambda row: samples.all_finite(row)))
-    models = gru.train(samples.eligible(full.where(samples.all_finite("y")), fold), ["year"], keys, **options)
-    at = full.join(F.broadcast(fold), "origin")
+    blocks = samples.packed_blocks(channels, keys, names, target, context, horizon, month)
+    models = gru.train_blocks(blocks, fold, keys, context, horizon, **options)
+    at = samples.contexts(channels, keys, names, context, month).join(F.broadcast(fold), "origin")
     found = gru.predict(at, models, ["year"], [*keys, "year", "origin"], keys)
     return found.select(*keys, "year", F.add_months("origin", F.col("h")).alias(month), "predicted"), models
 

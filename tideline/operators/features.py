@@ -1,14 +1,16 @@
 """Features that look back only. Every function takes a frame on a gap-free spine and
-adds columns in one ``select`` over one window, so a series is sorted once."""
+adds columns in one ``select`` over one window, so a series is sorted once, in blocks of
+months (see :mod:`.halo`)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .halo import BLOCK_MONTHS, by_blocks
 
 TARGET_LAGS = (0, 1, 2, 3, 6, 12, 18, 24)
 TARGET_WINDOWS = (3, 6, 12, 24)
@@ -20,9 +22,18 @@ def by_month(keys: Sequence[str], month: str = "month") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(month)
 
 
-def lag_features(df: DataFrame, keys: Sequence[str], sources: Sequence[str], ks: Sequence[int], month: str = "month") -> DataFrame:
-    w = by_month(keys, month)
-    return df.select(*keys, month, *[c.alias(n) for s in sources for n, c in X.lags(s, ks, w).items()])
+def window_columns(df: DataFrame, keys: Sequence[str], build: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int = 0, month: str = "month", block_months: int = BLOCK_MONTHS) -> DataFrame:
+    """(keys, month, and the columns that ``build`` makes of a window by month), where the
+    window's frames reach ``back`` rows back and ``ahead`` rows ahead at most."""
+
+    def f(rows: DataFrame, own: list[str]) -> DataFrame:
+        return rows.select(*own, month, *[c.alias(n) for n, c in build(by_month(own, month)).items()])
+
+    return by_blocks(df, keys, back, f, ahead, month, block_months)
+
+
+def lag_features(df: DataFrame, keys: Sequence[str], sources: Sequence[str], ks: Sequence[int], month: str = "month", block_months: int = BLOCK_MONTHS) -> DataFrame:
+    return window_columns(df, keys, lambda w: {n: c for s in sources for n, c in X.lags(s, ks, w).items()}, max(ks), month=month, block_months=block_months)
 
 
 def target_columns(target: str, w: WindowSpec) -> dict[str, Column]:
@@ -50,28 +61,33 @@ def panel_columns(inflation: str, index: str, w: WindowSpec) -> dict[str, Column
     return X.lags(inflation, PANEL_LAGS, w) | {f"{inflation}_roll3": X.rolling_mean(inflation, 3, w), f"{index}_yoy": X.yoy(index, w)}
 
 
-def origin_features(df: DataFrame, keys: Sequence[str], target: str, drivers: Sequence[str] = (), rollups: Sequence[str] = (), rolled: Sequence[str] = (), panel: Sequence[tuple[str, str]] = (), month: str = "month") -> DataFrame:
+def origin_features(df: DataFrame, keys: Sequence[str], target: str, drivers: Sequence[str] = (), rollups: Sequence[str] = (), rolled: Sequence[str] = (), panel: Sequence[tuple[str, str]] = (), month: str = "month", block_months: int = BLOCK_MONTHS) -> DataFrame:
     """All features known at each month: cyclic month, target, drivers, monthly
     statistics (``rolled`` of them with rolling means) and (inflation, index) pairs."""
-    w = by_month(keys, month)
-    out = {"month_sin": X.month_sin(month), "month_cos": X.month_cos(month)} | target_columns(target, w)
-    for d in drivers:
-        out |= driver_columns(d, w)
-    for r in rollups:
-        out |= rollup_columns(r, w, r in rolled)
-    for inflation, index in panel:
-        out |= panel_columns(inflation, index, w)
-    return df.select(*keys, month, *[c.alias(n) for n, c in out.items()])
-
-
-def sequence_channels(df: DataFrame, keys: Sequence[str], target: str, index: str, volume: str, passed: Sequence[str] = (), yoy_of: Sequence[str] = (), month: str = "month") -> DataFrame:
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        out = {"month_sin": X.month_sin(month), "month_cos": X.month_cos(month)} | target_columns(target, w)
+        for d in drivers:
+            out |= driver_columns(d, w)
+        for r in rollups:
+            out |= rollup_columns(r, w, r in rolled)
+        for inflation, index in panel:
+            out |= panel_columns(inflation, index, w)
+        return out
+
+    return window_columns(df, keys, build, max(*TARGET_LAGS, *TARGET_WINDOWS), month=month, block_months=block_months)
+
+
+def sequence_channels(df: DataFrame, keys: Sequence[str], target: str, index: str, volume: str, passed: Sequence[str] = (), yoy_of: Sequence[str] = (), month: str = "month", block_months: int = BLOCK_MONTHS) -> DataFrame:
     """Channels of a recurrent model: the target, the change of an index on a year, a
     volume as log1p, columns as they are, changes of others on a year, and the month."""
-    w = by_month(keys, month)
-    out = {"target": F.col(target), f"{index}_yoy": X.yoy(index, w), f"{volume}_log1p": X.log1p_clipped(volume)}
-    out |= {c: F.col(c) for c in passed} | {f"{c}_yoy": X.yoy(c, w) for c in yoy_of}
-    out |= {"month_sin": X.month_sin(month), "month_cos": X.month_cos(month)}
-    return df.select(*keys, month, *[c.alias(n) for n, c in out.items()])
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        out = {"target": F.col(target), f"{index}_yoy": X.yoy(index, w), f"{volume}_log1p": X.log1p_clipped(volume)}
+        out |= {c: F.col(c) for c in passed} | {f"{c}_yoy": X.yoy(c, w) for c in yoy_of}
+        return out | {"month_sin": X.month_sin(month), "month_cos": X.month_cos(month)}
+
+    return window_columns(df, keys, build, 12, month=month, block_months=block_months)
 
 
 def zscore(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

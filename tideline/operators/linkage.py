@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from . import regression
 from .features import by_month
+from .halo import by_blocks
 
 
 def indicator(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str], as_yoy: bool = False, month: str = "month") -> DataFrame:
     """``df`` with the mean of columns, or of their changes on a year in percent (the
     relative changes are averaged first)."""
-    w = by_month(keys, month)
-    parts = [X.pct_change(c, 12, w) for c in columns] if as_yoy else [F.col(c) for c in columns]
-    mean = X.row_mean(parts)
-    return df.withColumn(name, mean * 100 if as_yoy else mean)
+    if not as_yoy:
+        return df.withColumn(name, X.row_mean([F.col(c) for c in columns]))
+
+    def f(rows: DataFrame, own: list[str]) -> DataFrame:
+        w = by_month(own, month)
+        return rows.withColumn(name, X.row_mean([X.pct_change(c, 12, w) for c in columns]) * 100)
+
+    return by_blocks(df, keys, 12, f, month=month)
 
 
 def linkages(df: DataFrame, keys: Sequence[str], target: str, drivers: Sequence[str], indicators: Sequence[str], month: str = "month") -> dict[str, DataFrame]:

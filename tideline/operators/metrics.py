@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .halo import by_blocks
 
 
 def metric_columns(actual: str = "actual", predicted: str = "predicted") -> dict[str, Column]:
@@ -69,7 +70,7 @@ def extremes(df: DataFrame, keys: Sequence[str], month: str, value: str) -> Data
 
 def seasonal_naive(df: DataFrame, keys: Sequence[str], target: str, month: str = "month") -> DataFrame:
     """``df`` (on a spine) with the value of the same month a year before."""
-    return df.withColumn("predicted", F.lag(target, 12).over(Window.partitionBy(*keys).orderBy(month)))
+    return by_blocks(df, keys, 12, lambda rows, own: rows.withColumn("predicted", F.lag(target, 12).over(Window.partitionBy(*own).orderBy(month))), month=month)
 
 
 def naive_year(df: DataFrame, keys: Sequence[str], target: str, year: int, month: str = "month") -> DataFrame:

@@ -89,9 +89,11 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def target_identity(df: DataFrame, keys: Sequence[str], target: str, index: str, month: str = "month") -> DataFrame:
-    """One row: how far a target is from the year-on-year change of an index."""
+    """One row: how far a target (on a spine) is from the year-on-year change of an index."""
     from ..functions.exprs import yoy
+    from .halo import by_blocks
 
-    w = Window.partitionBy(*keys).orderBy(month)
-    gap = F.abs(F.col(target) - yoy(index, w))
-    return df.select(gap.alias("gap")).agg(F.max("gap").alias("max_abs_gap"), F.avg("gap").alias("mean_abs_gap"), F.count("gap").alias("n"))
+    def f(rows: DataFrame, own: list[str]) -> DataFrame:
+        return rows.select(*own, month, F.abs(F.col(target) - yoy(index, Window.partitionBy(*own).orderBy(month))).alias("gap"))
+
+    return by_blocks(df, keys, 12, f, month=month).agg(F.max("gap").alias("max_abs_gap"), F.avg("gap").alias("mean_abs_gap"), F.count("gap").alias("n"))

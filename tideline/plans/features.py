@@ -35,8 +35,7 @@ DIFFS = {f"total_diff{k}": f"total - {lag_sql('total', k)}" for k in (1, 3, 12)}
 
 @query(**listed(DIFFS))
 def diff_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = by_month(K)
-    return grid(spark, sf_dir).select("area", "month", *[X.diff("total", k, w).alias(f"total_diff{k}") for k in (1, 3, 12)])
+    return features.window_columns(grid(spark, sf_dir), K, lambda w: {f"total_diff{k}": X.diff("total", k, w) for k in (1, 3, 12)}, 12)
 
 
 ROLLS = {f"total_roll_{n}_{k}": rolling_sql(f, "total", k) for n, f in (("mean", "avg"), ("std", "stddev_pop")) for k in (3, 6, 12, 24)}
@@ -44,13 +43,13 @@ ROLLS = {f"total_roll_{n}_{k}": rolling_sql(f, "total", k) for n, f in (("mean",
 
 @query(**listed(ROLLS))
 def rolling_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = by_month(K)
-    return grid(spark, sf_dir).select("area", "month", *[f("total", k, w).alias(f"total_roll_{n}_{k}") for n, f in (("mean", X.rolling_mean), ("std", X.rolling_std)) for k in (3, 6, 12, 24)])
+    rolls = (("mean", X.rolling_mean), ("std", X.rolling_std))
+    return features.window_columns(grid(spark, sf_dir), K, lambda w: {f"total_roll_{n}_{k}": f("total", k, w) for n, f in rolls for k in (3, 6, 12, 24)}, 23)
 
 
 @query(**listed({"total_yoy": yoy_sql("total")}))
 def yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid(spark, sf_dir).select("area", "month", X.yoy("total", by_month(K)).alias("total_yoy"))
+    return features.window_columns(grid(spark, sf_dir), K, lambda w: {"total_yoy": X.yoy("total", w)}, 12)
 
 
 CYCLIC = {"month_sin": "sin(2 * pi() * month(month) / 12)", "month_cos": "cos(2 * pi() * month(month) / 12)"}
@@ -63,8 +62,7 @@ def cyclic_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(**listed({f"target_momentum_{k}": f"total - {lag_sql('total', k)}" for k in (3, 12)}))
 def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = by_month(K)
-    return grid(spark, sf_dir).select("area", "month", *[X.diff("total", k, w).alias(f"target_momentum_{k}") for k in (3, 12)])
+    return features.window_columns(grid(spark, sf_dir), K, lambda w: {f"target_momentum_{k}": X.diff("total", k, w) for k in (3, 12)}, 12)
 
 
 def origin_sql() -> dict[str, str]:
@@ -88,8 +86,7 @@ PANEL = {f"mean_lag{k}" if k else "mean_now": lag_sql("mean", k) for k in featur
 
 @query(**listed(PANEL))
 def panel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = by_month(K)
-    return grid(spark, sf_dir).select("area", "month", *[c.alias(n) for n, c in features.panel_columns("mean", "total", w).items()])
+    return features.window_columns(grid(spark, sf_dir), K, lambda w: features.panel_columns("mean", "total", w), 12)
 
 
 CHANNELS = {"target": "total", "total_yoy": yoy_sql("total"), "orders_log1p": "CASE WHEN orders IS NOT NULL THEN ln(1 + greatest(orders, 0)) END", "mean": "mean", "mean_yoy": yoy_sql("mean")} | CYCLIC

@@ -143,9 +143,8 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gru_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of each epoch, one model for a group of areas of each fold."""
-    s = samples.sequence_samples(channels(spark, sf_dir), K, NAMES, "total", context=12)
-    met = samples.eligible(s, samples.folds(spark, YEARS))
-    return gru.training_history(gru.train(met, ["year"], K, **TRAINING), ["year"])
+    blocks = samples.packed_blocks(channels(spark, sf_dir), K, NAMES, "total", context=12)
+    return gru.training_history(gru.train_blocks(blocks, samples.folds(spark, YEARS), K, 12, **TRAINING), ["year"])
 
 
 def _forecasts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
