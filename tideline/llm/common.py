@@ -19,18 +19,21 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 
 
-#: Arrow batches between Spark and its Python workers: they stand in both, several at once.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Arrow batches between Spark and its Python workers stand in both, several at once; and
+#: what a task reads of a shuffle stands in network buffers and sorters. Small executors
+#: have room for little of either.
+BYTES_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers that Spark starts on this machine import the package, and send
-    them batches of few bytes, unless the session asks for fewer still.
+    """Let Python workers that Spark starts on this machine import the package, and let
+    tasks take batches and partitions of few bytes, unless the session asks for fewer.
 
     On a cluster the package is shipped with ``--py-files`` or installed."""
-    plain = re.fullmatch("([0-9]+)b?", spark.conf.get(BATCH_CONF))
-    if plain and int(plain[1]) > BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+    for name, most in BYTES_CONF.items():
+        plain = re.fullmatch("([0-9]+)b?", spark.conf.get(name))
+        if plain and int(plain[1]) > most:
+            spark.conf.set(name, f"{most}b")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

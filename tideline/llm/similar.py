@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import bitmap_of, free_names, in_bitmap, materialise, slices, utf8
+from .common import bitmap_of, free_names, in_bitmap, materialise, sieved, slices, utf8
 from .components import components
 from .substrings import _groups, _mix, word_hashes
 
@@ -169,8 +169,10 @@ def near_fingerprints(one: DataFrame) -> DataFrame:
 def bucket_members(one: DataFrame) -> DataFrame:
     """(bucket, cls, size, head, head_size) for buckets of more than one class."""
     placed = one.select("cls", "size", F.explode("buckets").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(placed.join(sizes, "bucket"))
+    sizes = materialise(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # most buckets have one class: these rows are not shuffled
+    shared = one.sparkSession.sparkContext.broadcast(bitmap_of(sizes, "bucket"))
+    met = materialise(sieved(placed, "bucket", shared).join(sizes, "bucket"))
     degrees = met.groupBy("cls").agg(F.sum(F.col("n") - 1).alias("degree"))
     ranked = met.drop("n").join(degrees, "cls")
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "size")).alias("head")).select("bucket", F.col("head.cls").alias("head"), F.col("head.size").alias("head_size"))
