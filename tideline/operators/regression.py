@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tails
+
 
 def regularized_beta(x: float, a: float, b: float, eps: float = 3e-12, rounds: int = 400) -> float:
     """I_x(a, b) by Lentz's continued fraction."""
@@ -86,7 +88,7 @@ def solve(n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
     se = np.sqrt(np.maximum(np.r_[sigma2 * (1 / n + mean[1:] @ spread @ mean[1:] / n), sigma2 * np.diag(spread) / n], 1e-18))
     coef = np.r_[intercept, slopes]
     t = coef / se
-    return {"n": n, "rss": rss, "r_squared": 1 - rss / tss if tss > 0 else 0.0, "coefficient": coef, "std_error": se, "t_stat": t, "p_value": [student_two_sided(x, n - k) for x in t]}
+    return {"n": n, "rss": rss, "r_squared": 1 - rss / tss if tss > 0 else 0.0, "coefficient": coef, "std_error": se, "t_stat": t}
 
 
 def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -103,14 +105,16 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFr
                 try:
                     fit = solve(row["n"], np.asarray(row["mean"], float), _square(row["cov"], len(terms)))
                 except np.linalg.LinAlgError as e:
-                    out += [[*[row[k] for k in keys], row["n"], None, None, term, None, None, None, None, str(e)] for term in terms]
+                    out += [[*[row[k] for k in keys], row["n"], None, None, term, None, None, None, str(e)] for term in terms]
                     continue
                 for i, term in enumerate(terms):
-                    out.append([*[row[k] for k in keys], fit["n"], fit["r_squared"], fit["rss"], term, *[fit[c][i] for c in ("coefficient", "std_error", "t_stat", "p_value")], None])
-            yield pd.DataFrame(out, columns=[*keys, "n", "r_squared", "rss", "term", "coefficient", "std_error", "t_stat", "p_value", "reason"])
+                    out.append([*[row[k] for k in keys], fit["n"], fit["r_squared"], fit["rss"], term, *[fit[c][i] for c in ("coefficient", "std_error", "t_stat")], None])
+            yield pd.DataFrame(out, columns=[*keys, "n", "r_squared", "rss", "term", "coefficient", "std_error", "t_stat", "reason"])
 
     head = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
-    return known.mapInPandas(run, head + "n long, r_squared double, rss double, term string, coefficient double, std_error double, t_stat double, p_value double, reason string")
+    found = known.mapInPandas(run, head + "n long, r_squared double, rss double, term string, coefficient double, std_error double, t_stat double, reason string")
+    p = tails.student_p(F.col("t_stat"), F.col("n") - len(terms)).alias("p_value")
+    return found.select(*keys, "n", "r_squared", "rss", "term", "coefficient", "std_error", "t_stat", p, "reason")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ks: Sequence[int], month: str = "month") -> DataFrame:
@@ -133,16 +137,18 @@ def granger(df: DataFrame, keys: Sequence[str], target: str, driver: str, lags:
                 try:
                     full, part = solve(n, mean, cov), solve(n, mean[: 1 + lags], cov[: 1 + lags, : 1 + lags])
                 except np.linalg.LinAlgError as e:
-                    out.append([*[row[k] for k in keys], lags, n, None, None, str(e)])
+                    out.append([*[row[k] for k in keys], lags, n, None, str(e)])
                     continue
                 rest = n - 1 - 2 * lags
                 below = full["rss"] / rest if rest > 0 else 0.0
                 f = max(0.0, part["rss"] - full["rss"]) / lags / below if below > 0 else 0.0
-                out.append([*[row[k] for k in keys], lags, n, f, f_survival(f, lags, rest), None])
-            yield pd.DataFrame(out, columns=[*keys, "lags", "n", "f_stat", "p_value", "reason"])
+                out.append([*[row[k] for k in keys], lags, n, f if rest > 0 else None, None if rest > 0 else "too few rows"])
+            yield pd.DataFrame(out, columns=[*keys, "lags", "n", "f_stat", "reason"])
 
     head = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
-    return known.mapInPandas(run, head + "lags int, n long, f_stat double, p_value double, reason string")
+    found = known.mapInPandas(run, head + "lags int, n long, f_stat double, reason string")
+    p = tails.f_p(F.col("f_stat"), F.col("lags"), F.col("n") - 1 - 2 * F.col("lags")).alias("p_value")
+    return found.select(*keys, "lags", "n", "f_stat", p, "reason")
 
 
 def indicator_relationship(df: DataFrame, keys: Sequence[str], target: str, indicator: str, month: str = "month") -> tuple[DataFrame, DataFrame]:
@@ -162,7 +168,8 @@ def correlations(df: DataFrame, keys: Sequence[str], target: str, others: Sequen
 
 
 def two_regressor_ols(df: DataFrame, keys: Sequence[str], y: str, x1: str, x2: str) -> DataFrame:
-    """Closed form for two regressors, all in one grouped aggregate."""
+    """Closed form for two regressors with the p-values of their slopes: one grouped
+    aggregate and expressions, no Python worker."""
     rows = df.select(*keys, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("b")).na.drop(subset=["y", "a", "b"])
     m = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("a").alias("ma"), F.avg("b").alias("mb"),
@@ -172,4 +179,10 @@ def two_regressor_ols(df: DataFrame, keys: Sequence[str], y: str, x1: str, x2: s
     det = F.nullif(F.col("saa") * F.col("sbb") - F.col("sab") * F.col("sab"), F.lit(0.0))
     m = m.withColumns({"b1": (F.col("say") * F.col("sbb") - F.col("sby") * F.col("sab")) / det, "b2": (F.col("sby") * F.col("saa") - F.col("say") * F.col("sab")) / det})
     r2 = F.try_divide(F.col("b1") * F.col("say") + F.col("b2") * F.col("sby"), F.col("syy"))
-    return m.select(*keys, "n", (F.col("my") - F.col("b1") * F.col("ma") - F.col("b2") * F.col("mb")).alias("intercept"), F.col("b1").alias("slope_1"), F.col("b2").alias("slope_2"), r2.alias("r_squared"))
+    free = F.nullif(F.greatest(F.col("n") - 3, F.lit(0)), F.lit(0))
+    below = F.greatest(F.col("syy") - F.col("b1") * F.col("say") - F.col("b2") * F.col("sby"), F.lit(0.0)) / free / det
+    p = lambda b, other: tails.student_p(F.try_divide(F.col(b), F.sqrt(below * F.col(other))), free)
+    return m.select(
+        *keys, "n", (F.col("my") - F.col("b1") * F.col("ma") - F.col("b2") * F.col("mb")).alias("intercept"), F.col("b1").alias("slope_1"), F.col("b2").alias("slope_2"),
+        r2.alias("r_squared"), p("b1", "sbb").alias("p_value_1"), p("b2", "saa").alias("p_value_2"),
+    )

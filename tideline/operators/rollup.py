@@ -75,8 +75,22 @@ def source_audit(df: DataFrame, date: str, values: Sequence[str]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: the sorted distinct values of each column."""
-    return df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+    """(column, value): the distinct values of each column, as text, nulls left out; sorted
+    over ranges, so no task or row holds all values of a column."""
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    return long.where("value IS NOT NULL").distinct().repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+
+
+def distinct_preview(df: DataFrame, columns: Sequence[str], most: int = 100) -> DataFrame:
+    """One row for each column: n, and the first ``most`` of its distinct values in order.
+    The first values are taken in every task before they meet."""
+    out = None
+    for c in columns:
+        values = df.select(F.col(f"`{c}`").alias("value")).where("value IS NOT NULL").distinct()
+        first = values.orderBy("value").limit(most).agg(F.array_sort(F.collect_list(F.col("value").cast("string"))).alias("first"))  # most rows
+        row = values.agg(F.count(F.lit(1)).alias("n")).crossJoin(first).select(F.lit(c).alias("column"), "n", "first")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -26,21 +26,35 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.lagged(grid(spark, sf_dir), K, ["total", "mean"], [1, 2])
 
 
-@query(f"WITH {GRID_SQL}, {LAGGED}, {MOMENTS} SELECT area, n, my - b1 * ma - b2 * mb AS intercept, b1 AS slope_1, b2 AS slope_2, (b1 * say + b2 * sby) / syy AS r_squared FROM c", exact="area n", doubles="intercept slope_1 slope_2 r_squared", digits=6)
+#: Two-sided p-value of Student's t by its finite series (Abramowitz and Stegun 26.7).
+STUDENT_SQL = """CASE WHEN v % 2 = 0
+  THEN 1 - sin(th) * list_sum(list_transform(range(0, v // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: (2.0 * j - 1) / (2 * j))) * cos(th) ^ (2 * k)))
+  ELSE 1 - 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (v - 1) // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: 2.0 * j / (2 * j + 1))) * cos(th) ^ (2 * k + 1)))) END"""
+
+
+@query(
+    f"""WITH {GRID_SQL}, {LAGGED}, {MOMENTS}, d AS (SELECT *, saa * sbb - sab * sab AS det, n - 3 AS v, greatest(syy - b1 * say - b2 * sby, 0) / (n - 3) AS s2 FROM c),
+a AS (SELECT *, atan(abs(b1) / sqrt(s2 * sbb / det) / sqrt(v)) AS th FROM d), p AS (SELECT *, {STUDENT_SQL} AS p_value_1 FROM a),
+b AS (SELECT * EXCLUDE (th), atan(abs(b2) / sqrt(s2 * saa / det) / sqrt(v)) AS th FROM p)
+SELECT area, n, my - b1 * ma - b2 * mb AS intercept, b1 AS slope_1, b2 AS slope_2, (b1 * say + b2 * sby) / syy AS r_squared, p_value_1, {STUDENT_SQL} AS p_value_2 FROM b""",
+    exact="area n", doubles="intercept slope_1 slope_2 r_squared p_value_1 p_value_2", digits=6,
+)
 def ols_two_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.two_regressor_ols(lagged(spark, sf_dir), K, "total", "total_lag1", "mean_lag1")
 
 
 @query(
     f"""WITH {GRID_SQL}, {LAGGED}, {MOMENTS}, r AS (SELECT *, greatest(n * (syy - b1 * say - b2 * sby), 0) AS rss, saa * sbb - sab * sab AS det FROM c),
-s AS (SELECT *, rss / (n - 3) AS s2 FROM r)
-SELECT area, n, rss, 1 - rss / (n * syy) AS r_squared, 'intercept' AS term, my - b1 * ma - b2 * mb AS coefficient, sqrt(s2 / n * (1 + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS std_error FROM s
+s AS (SELECT *, rss / (n - 3) AS s2 FROM r),
+o AS (SELECT area, n, rss, 1 - rss / (n * syy) AS r_squared, 'intercept' AS term, my - b1 * ma - b2 * mb AS coefficient, sqrt(s2 / n * (1 + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS std_error FROM s
 UNION ALL SELECT area, n, rss, 1 - rss / (n * syy), 'total_lag1', b1, sqrt(s2 / n * sbb / det) FROM s
-UNION ALL SELECT area, n, rss, 1 - rss / (n * syy), 'mean_lag1', b2, sqrt(s2 / n * saa / det) FROM s""",
-    exact="area n term", doubles="rss r_squared coefficient std_error", digits=6,
+UNION ALL SELECT area, n, rss, 1 - rss / (n * syy), 'mean_lag1', b2, sqrt(s2 / n * saa / det) FROM s),
+q AS (SELECT *, coefficient / std_error AS t_stat, n - 3 AS v, atan(abs(coefficient / std_error) / sqrt(n - 3)) AS th FROM o)
+SELECT area, n, rss, r_squared, term, coefficient, std_error, t_stat, {STUDENT_SQL} AS p_value FROM q""",
+    exact="area n term", doubles="rss r_squared coefficient std_error t_stat p_value", digits=6,
 )
 def ols_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.ols(lagged(spark, sf_dir), K, "total", ["total_lag1", "mean_lag1"]).select("area", "n", "rss", "r_squared", "term", "coefficient", "std_error")
+    return regression.ols(lagged(spark, sf_dir), K, "total", ["total_lag1", "mean_lag1"]).select("area", "n", "rss", "r_squared", "term", "coefficient", "std_error", "t_stat", "p_value")
 
 
 @query(
@@ -74,12 +88,6 @@ def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.granger(grid(spark, sf_dir), K, "total", "mean").drop("reason")
 
 
-#: Two-sided p-value of Student's t by its finite series (Abramowitz and Stegun 26.7).
-STUDENT_SQL = """CASE WHEN v % 2 = 0
-  THEN 1 - sin(th) * list_sum(list_transform(range(0, v // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: (2.0 * j - 1) / (2 * j))) * cos(th) ^ (2 * k)))
-  ELSE 1 - 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (v - 1) // 2), lambda k: list_product([1.0] || list_transform(range(1, k + 1), lambda j: 2.0 * j / (2 * j + 1))) * cos(th) ^ (2 * k + 1)))) END"""
-
-
 @query(
     f"""WITH {GRID_SQL}, g AS (SELECT area, month, total, {yoy_sql('mean')} AS i FROM grid),
 k AS (SELECT area, y, a, b FROM (SELECT area, total AS y, lag(total, 1) OVER w AS a, lag(i, 1) OVER w AS b FROM g WINDOW w AS (PARTITION BY area ORDER BY month)) WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), {MOMENTS},

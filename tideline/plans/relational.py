@@ -145,9 +145,24 @@ def distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.first_by_key(sources.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query("SELECT list_sort(list_distinct(list(o_orderpriority))) AS o_orderpriority, list_sort(list_distinct(list(o_orderstatus))) AS o_orderstatus FROM orders", exact="o_orderpriority o_orderstatus")
+@query(
+    "SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL UNION SELECT 'o_orderstatus', o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL UNION SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey IS NOT NULL",
+    exact='"column" value',
+)
 def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.distinct_values(sources.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
+    """Of two columns with few values and one with many."""
+    return rollup.distinct_values(sources.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT 'o_orderpriority' AS c, o_orderpriority AS value FROM orders UNION SELECT 'o_orderdate', CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders), r AS (SELECT c, value, row_number() OVER (PARTITION BY c ORDER BY value) AS i, count(*) OVER (PARTITION BY c) AS n FROM v WHERE value IS NOT NULL)
+SELECT c AS "column", any_value(n) AS n, list(value ORDER BY value) FILTER (i <= 10) AS first FROM r GROUP BY c""",
+    exact='"column" n first',
+)
+def distinct_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten; the limit is the feature."""
+    orders = sources.table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return rollup.distinct_preview(orders, ["o_orderpriority", "o_orderdate"], 10)
 
 
 @query(

@@ -1,5 +1,5 @@
-"""The daily roll-up as a stream: events to daily bars with a watermark, and each
-micro-batch merged into monthly figures."""
+"""The daily roll-up as a stream: events to daily bars with a watermark, written as days
+close. For monthly figures that late events still change see :mod:`.monthly`."""
 
 from __future__ import annotations
 
