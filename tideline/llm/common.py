@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -79,6 +80,15 @@ def free_names(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, two or
+    more of them beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``max_bytes`` in each; a longer
     single text stays whole."""
@@ -93,6 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUN
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 BITMAP_BITS = 26
