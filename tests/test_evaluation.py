@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from tideline.operators import samples
 from tideline.plans import evaluation
@@ -76,7 +77,37 @@ def test_run(spark, inputs, tmp_path):
     config = sources.Config(evaluation_years=(2022, 2023), tuning_years=(2020,))
     files = evaluation.run(spark, inputs, config, f"file://{tmp_path}/out", {"epochs": 25, "patience": 10}, candidates=evaluation.sarima.CANDIDATES[:2])
     names = {r.path.split("/out/")[1].split("/")[0] for r in files.collect()}
-    assert {"predictions.csv", "scores.csv", "backtest.csv", "report.md", "results.json", "target.svg", "audit.json", "monthly.csv"} <= names
+    documents = {"feature_report", "model_report", "linkage_memo", "visuals", "pitch_notes"}
+    charts = set(evaluation.CHARTS)
+    assert {"predictions.csv", "scores.csv", "backtest.csv", "results.json", "audit.json", "monthly.csv", "submission_pack.zip", "code_archive.zip"} | {f"{d}.md" for d in documents} | charts <= names
+    read = lambda name: "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/out/{name}").collect())
+    told = {d: read(f"{d}.md") for d in documents}
+    number = lambda v: float(v) if v is not None and v.lstrip("-").replace(".", "", 1).replace("E-", "", 1).isdigit() else v
+    table = lambda name: [Row(**{k: number(v) for k, v in r.asDict().items()}) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/out/{name}.csv").collect()]
+    # each figure that is told stands in its table
+    winner = table("winner")[0].winner
+    best = next(r for r in table("scores") if r.model == winner)
+    assert f"{winner} is selected: RMSE {best.rmse:.3f}, MAE {best.mae:.3f}, sMAPE {best.smape:.2f}, bias {best.bias:.3f}" in told["model_report"]
+    assert f"{best.acf_1:.3f} at one month and {best.acf_12:.3f} at twelve" in told["model_report"]
+    for r in table("scores"):
+        assert f"| {r.model} | {r.rmse:,.3f} | {r.mae:,.3f} |" in told["model_report"]
+    for r in table("intervals"):
+        assert f"| {r.year_month} | {r.predicted:,.3f} | {r.std_error:,.3f} | {r.lower:,.3f} | {r.upper:,.3f} |" in told["model_report"]
+    pressure = table("pressure")[0]
+    assert f"mean of {pressure['mean']:.1f}, a peak of {pressure.peak:.1f} in {pressure.peak_month}" in told["linkage_memo"] and f"{pressure.months_over:.0f} months are at or over" in told["linkage_memo"]
+    pattern = table("pattern")[0]
+    assert f"June to October of 2023 went from {pattern.actual_june:.1f} to {pattern.actual_october:.1f} (a fall of {pattern.actual_drop:.1f})" in told["pitch_notes"]
+    audit = json.loads(read("audit.json"))
+    assert f"{audit['n_rows']} daily rows from {audit['first_date']} to {audit['last_date']}, of which {audit['n_duplicates']}" in told["feature_report"]
+    assert all(f"]({c})" in told["visuals"] for c in charts)
+    # members of the pack are the files of the manifest
+    import hashlib
+    import zipfile
+
+    listed = {r.path.split("/out/")[1].split("/")[0]: r.sha256 for r in files.collect()}
+    with zipfile.ZipFile(tmp_path / "out" / "submission_pack.zip") as z:
+        assert set(z.namelist()) == {f"{d}.md" for d in documents} | charts | {"predictions.csv", "results.json", "code_archive.zip"}
+        assert all(hashlib.sha256(z.read(n)).hexdigest() == listed[n] for n in z.namelist())
     whole = json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/out/results.json").collect()))
     assert {"audit", "scores", "tuning", "stationarity", "linkage_correlations", "predictions", "intervals", "models"} <= set(whole) and len(whole["intervals"]) == 12
     p = spark.read.option("header", True).csv(f"file://{tmp_path}/out/predictions.csv").orderBy("year_month").collect()

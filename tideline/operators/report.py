@@ -1,10 +1,13 @@
-"""Reports as Markdown and SVG, told from computed results only."""
+"""Reports as Markdown and SVG, told from computed results only.
+
+A set of reports is a frame of sections (report, place, text), each made by Spark from the
+result that it tells of; :func:`assembled` puts the sections of each report in a row."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +51,40 @@ class Report:
         return "\n\n".join(self.parts) + "\n"
 
 
+def told(df: DataFrame, report: str, place: int, text: Column) -> DataFrame:
+    """A section for each row of a small result: a sentence made from its figures."""
+    return df.select(F.lit(report).alias("report"), F.lit(place).alias("place"), text.alias("text"))
+
+
+def heading(spark: SparkSession, report: str, place: int, text: str, level: int = 2) -> DataFrame:
+    return told(spark.range(1), report, place, F.lit("#" * level + " " + text))
+
+
+def paragraph(spark: SparkSession, report: str, place: int, text: str) -> DataFrame:
+    return told(spark.range(1), report, place, F.lit(" ".join(text.split())))
+
+
+def table_section(df: DataFrame, report: str, place: int, order: Sequence[str] = (), digits: int = 3, most: int = 200) -> DataFrame:
+    """A section that holds a small result as a table, in order of columns; more than
+    ``most`` rows are an error."""
+    show = lambda c: F.format_number(c, digits) if dict(df.dtypes)[c] in ("double", "float") else F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\|", "\\\\|")
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*[F.coalesce(show(c), F.lit("")) for c in df.columns]), " | "), F.lit(" |"))
+    lines = df.select(F.struct(*[F.col(f"`{c}`") for c in order], cells.alias("line")).alias("row"))
+    head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
+    all_ = lines.agg(F.array_sort(F.collect_list("row")).alias("rows"))  # a small result
+    checked = F.when(F.size("rows") > most, F.raise_error(F.lit(f"more than {most} rows for a report"))).otherwise(F.array_join(F.concat(F.array(F.lit(head)), F.col("rows.line")), "\n"))
+    return told(all_, report, place, checked)
+
+
+def assembled(sections: Sequence[DataFrame]) -> DataFrame:
+    """(report, text): the sections of each report in order of place, as one document."""
+    out = sections[0]
+    for more in sections[1:]:
+        out = out.unionByName(more)
+    rows = out.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("rows"))
+    return rows.select("report", F.concat(F.array_join("rows.text", "\n\n"), F.lit("\n")).alias("text"))
+
+
 def ticks(n: int, most: int = 8) -> list[int]:
     """Evenly spread places of at most ``most`` labels among n points, each once."""
     if n <= 0:

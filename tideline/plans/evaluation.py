@@ -11,13 +11,14 @@ import json
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import backtest, calendar, features, gru, linkage, metrics, report, reshape, rollup, samples, sarima, stationarity
-from ..sources import sinks, sources
+from ..operators import backtest, calendar, contract, features, gru, linkage, metrics, report, reshape, rollup, samples, sarima, stationarity
+from ..sources import packs, sinks, sources
 
 KEY = "unit"
 
@@ -157,6 +158,79 @@ def evaluate(bundle: Bundle, inputs: Inputs, config: sources.Config, training: d
     }
 
 
+def told_sections(spark: SparkSession, bundle: Bundle, inputs: Inputs, results: dict[str, DataFrame]) -> list[DataFrame]:
+    """Sections of five documents, each made from the result that it tells of."""
+    R, year = report, int(inputs.last[:4]) + 1
+    features_, models_, memo, visuals, notes = "feature_report", "model_report", "linkage_memo", "visuals", "pitch_notes"
+    granger = [(k.removeprefix("linkage_granger_"), df) for k, df in results.items() if k.startswith("linkage_granger_")]
+    tests = None
+    for name, df in granger:
+        row = df.select(F.lit(name).alias("driver"), "lags", "n", "f_stat", "p_value", X.yes_at_5_percent("p_value").alias("significant"))
+        tests = row if tests is None else tests.unionByName(row)
+    means = results["tuning"].groupBy("spec_id").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("aic").alias("aic"), F.avg("bic").alias("bic"))
+    n_features, n_channels = len(bundle.features.columns) - 2, len(bundle.channel_names)
+    best = results["scores"].join(results["winner"].select(F.col("winner").alias("model")), "model")
+    pattern = F.format_string(
+        "June to October of %d went from %.1f to %.1f (a fall of %.1f); the forecast for %d goes from %.1f to %.1f (a fall of %.1f).",
+        F.lit(year - 1), "actual_june", "actual_october", "actual_drop", F.lit(year), "forecast_june", "forecast_october", "forecast_drop",
+    )
+    correlations = [df for k, df in results.items() if k == "linkage_correlations"]
+    return [
+        R.heading(spark, features_, 1, "Data and features", 1), R.heading(spark, features_, 2, "Sources and checks"),
+        R.told(bundle.audit, features_, 3, F.format_string("%d daily rows from %s to %s, of which %d are exact duplicates; %d months, %d of them with a target.", "n_rows", F.col("first_date").cast("string"), F.col("last_date").cast("string"), "n_duplicates", "months", "targets")),
+        R.told(bundle.audit, features_, 4, F.format_string("The target differs from the yearly change of its index by %.6f at the most (%d months).", F.col("max_abs_gap"), F.col("n"))),
+        R.table_section(bundle.audit, features_, 5), R.heading(spark, features_, 6, "What is known at an origin"),
+        R.paragraph(spark, features_, 7, f"Each month has {n_features} features and {n_channels} channels, made from that month and those before it. Samples are learned from once all months of their labels have passed."),
+        R.heading(spark, models_, 1, "Models", 1), R.heading(spark, models_, 2, "Backtest"), R.table_section(results["scores"], models_, 3, ["rmse"]),
+        R.told(best, models_, 4, F.format_string("%s is selected: RMSE %.3f, MAE %.3f, sMAPE %.2f, bias %.3f over all folds. The seasonal naive forecast is a yardstick and cannot win.", "model", "rmse", "mae", "smape", "bias")),
+        R.told(best, models_, 5, F.format_string("Its residuals have an autocorrelation of %.3f at one month and %.3f at twelve.", "acf_1", "acf_12")),
+        R.heading(spark, models_, 6, "Stationarity"), R.table_section(results["stationarity"].drop(KEY), models_, 7, ["variant"]),
+        R.heading(spark, models_, 8, "Tuning"), R.table_section(means, models_, 9, ["rmse"]),
+        R.heading(spark, models_, 10, "Networks"), R.table_section(results["models"], models_, 11, ["year"]),
+        R.heading(spark, models_, 12, "Forecast"), R.table_section(results["intervals"], models_, 13, ["year_month"]), R.table_section(results["candidates"], models_, 14, ["year_month"]),
+        R.heading(spark, memo, 1, "Linkages", 1), R.heading(spark, memo, 2, "Method"),
+        R.paragraph(spark, memo, 3, "The target is regressed on its own last value and those of other areas; tests ask whether the last values of a driver help to predict the target beyond its own. Neither shows a cause."),
+        R.table_section(results["linkage_regression"].drop(KEY, "reason"), memo, 4, ["term"]), R.heading(spark, memo, 5, "Correlations"),
+        *[R.table_section(df.drop(KEY), memo, 6, ["series"]) for df in correlations], R.heading(spark, memo, 7, "Predictive checks"),
+        *([R.table_section(tests, memo, 8, ["driver"])] if tests is not None else []), R.heading(spark, memo, 9, "Pressure ahead"),
+        R.told(results["pressure"], memo, 10, F.format_string("The forecast has a mean of %.1f, a peak of %.1f in %s and a trough of %.1f in %s; %d months are at or over the threshold. The halves of the year have means of %.1f and %.1f.", "mean", "peak", "peak_month", "trough", "trough_month", "months_over", "first_half_mean", "second_half_mean")),
+        R.table_section(results["projection"].drop(KEY), memo, 11, ["month"]),
+        R.heading(spark, visuals, 1, "Charts", 1), *[R.paragraph(spark, visuals, 2 + i, f"![{title}]({name})") for i, (name, title) in enumerate(CHARTS.items())],
+        R.heading(spark, notes, 1, "Pitch notes", 1), R.heading(spark, notes, 2, "June to October"), R.told(results["pattern"], notes, 3, pattern),
+    ]
+
+
+CHARTS = {
+    "target.svg": "Target", "drivers.svg": "Drivers", "backtest.svg": "Backtest", "scores.svg": "Errors of the models", "history.svg": "Losses of the network",
+    "forecast.svg": "Forecast", "projection.svg": "Forecast and other areas", "correlations.svg": "Correlations with the target",
+}
+
+
+def drawn(bundle: Bundle, inputs: Inputs, results: dict[str, DataFrame]) -> dict[str, str]:
+    """The charts as SVG by name; all are of some hundred months at the most."""
+    facts = results["backtest"].groupBy("month").pivot("model", [backtest.SARIMA, backtest.RECURRENT, backtest.NAIVE]).agg(F.first("predicted"))
+    facts = facts.join(results["backtest"].groupBy("month").agg(F.first("actual").alias("actual")), "month")
+    projection = results["projection"]
+    linked = [c for c in projection.columns if c not in (KEY, "month")]
+    made = {
+        "target.svg": sinks.line_chart(bundle.monthly, "month", ["target"], CHARTS["target.svg"]),
+        "drivers.svg": sinks.line_chart(bundle.monthly, "month", list(inputs.drivers), CHARTS["drivers.svg"]),
+        "backtest.svg": sinks.line_chart(facts, "month", ["actual", backtest.SARIMA, backtest.RECURRENT, backtest.NAIVE], CHARTS["backtest.svg"]),
+        "scores.svg": report.bar_chart(results["scores"], "model", ["rmse", "mae"], CHARTS["scores.svg"]),
+        "history.svg": sinks.line_chart(results["history"], "epoch", ["train_loss", "validation_loss"], CHARTS["history.svg"]),
+        "forecast.svg": report.bar_chart(results["predictions"], "year_month", ["forecast"], CHARTS["forecast.svg"]),
+        "projection.svg": sinks.line_chart(projection, "month", linked, CHARTS["projection.svg"]),
+        "correlations.svg": report.bar_chart(results["linkage_correlations"], "series", ["correlation"], CHARTS["correlations.svg"]),
+    }
+    return made
+
+
+def own_code(spark: SparkSession) -> DataFrame:
+    """(name, content): the package's modules, some dozens of small files."""
+    root = Path(__file__).resolve().parents[1]
+    return spark.createDataFrame([(f"{root.name}/{p.relative_to(root)}", bytearray(p.read_bytes())) for p in sorted(root.rglob("*.py"))], "name string, content binary")
+
+
 def run(spark: SparkSession, inputs: Inputs, config: sources.Config, out: str, training: dict | None = None, candidates: Sequence = sarima.CANDIDATES) -> DataFrame:
     """Evaluate and write everything below ``out``; returns the manifest of the files."""
     inputs, bundle = cut_off(inputs, config.data_cutoff), load(spark, inputs, config.data_cutoff)
@@ -169,20 +243,23 @@ def run(spark: SparkSession, inputs: Inputs, config: sources.Config, out: str, t
     for name, df in results.items():
         nested = any(f.dataType.typeName() in ("array", "struct", "binary") for f in df.schema)
         sinks.write_json(df, f"{out}/{name}.json") if nested or name.startswith("linkage_") else sinks.write_csv(df, f"{out}/{name}.csv", one_file=True)
+    contract.assert_written(spark, f"{out}/predictions.csv", contract.Expectation(("year_month", "forecast"), contract.months(first, config.horizon), ("forecast",)))
     # every result is small but the facts and losses, which stand in files of their own
     lines = [sinks.results_json({"audit": bundle.audit, **{k: df for k, df in results.items() if k not in ("backtest", "history")}})]
     sinks.write_text(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), f"{out}/results.json")
-    winner = results["winner"].first().winner
-    note = report.Report("Forecast evaluation").heading("Data").table(bundle.audit).heading("Models").table(results["scores"])
-    note.paragraph(f"The selected model is {winner}.").heading("Forecast").table(results["predictions"]).heading("Linkages").table(results["linkage_correlations"])
-    note.bullets([r.line for r in report.summary_lines(winner, results["scores"], results["pressure"]).collect()])
-    charts = {
-        "target.svg": sinks.line_chart(bundle.monthly, "month", ["target"], "Target"),
-        "forecast.svg": report.bar_chart(results["predictions"], "year_month", ["forecast"], "Forecast"),
-    }
-    for name, text in {"report.md": note.text(), **charts}.items():
+    documents = report.assembled(told_sections(spark, bundle, inputs, results)).persist()
+    names = [r.report for r in documents.select("report").collect()]  # five
+    for name in names:
+        sinks.write_text(documents.where(F.col("report") == name).select("text").coalesce(1), f"{out}/{name}.md")
+    documents.unpersist()
+    for name, text in drawn(bundle, inputs, results).items():
         sinks.write_text(spark.createDataFrame([(text,)], "value string").coalesce(1), f"{out}/{name}")
-    return sinks.manifest(spark, out, "part-*")
+    packs.write_pack(own_code(spark), f"{out}/code_archive.zip")
+    members = {f"{n}.md": f"{out}/{n}.md" for n in names} | {n: f"{out}/{n}" for n in ("predictions.csv", "results.json", "code_archive.zip", *CHARTS)}
+    packs.write_pack(packs.files(spark, members), f"{out}/submission_pack.zip")
+    for df in (bundle.monthly, *results.values()):
+        df.unpersist()
+    return sinks.manifest(spark, out, "part-*").unionByName(sinks.manifest(spark, out, "*.zip"))
 
 
 def main(args: list[str]) -> None:
