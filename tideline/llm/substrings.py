@@ -15,9 +15,9 @@ window that also starts in a document with a smaller id are removed.
    sent, words and all, to the shard of its seed. Where a slice of text holds the same
    segment in a smaller document, that settles it there, so a passage that a third of
    all documents share sends one row for each slice. Seeds that stand in many places
-   (``HOT_PLACES``; at most ``HOT_SEEDS`` of them are named, so their list is bounded)
-   do not hold their windows together: each of these windows is a segment of its own,
-   under its own hash, so a frequent phrase in differing surroundings is spread.
+   (``HOT_PLACES``; a second bitmap marks them all) do not hold their windows together:
+   each of these windows is a segment of its own, under its own hash, so a frequent phrase
+   in differing surroundings is spread. A false hit spreads windows that needn't be.
 4. Confirmed passages. In a shard the windows of the segments of a seed are compared
    word for word; windows in a row that recur together make one passage, which carries
    the least document that holds it.
@@ -50,8 +50,8 @@ WINDOW = 13
 SEED_WORDS = 5
 BITMAP_BITS = 26
 SLICE_BYTES = 4 << 20
-#: Places of a seed beyond which its windows are spread, and the most seeds so named.
-HOT_PLACES, HOT_SEEDS = 20_000, 1 << 20
+#: Places of a seed beyond which its windows are spread.
+HOT_PLACES = 20_000
 #: Segments that one automaton is made from.
 SHARD_BYTES = 2 << 20
 
@@ -181,19 +181,13 @@ def recurring_seeds(rows: DataFrame, window: int) -> DataFrame:
     return found.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("places")).where("lo < hi").select("seed", "places")
 
 
-def hot_seeds(seeds: DataFrame, places: int, most: int) -> np.ndarray:
-    """The seeds that stand in more than ``places`` places, sorted; the ``most`` of
-    these with most places at most (8 bytes each)."""
-    rows = seeds.where(F.col("places") > places).orderBy(F.desc("places"), "seed").limit(most).collect()
-    return np.sort(np.array([r.seed for r in rows], np.int64).view(np.uint64))
-
-
 #: A row is an open segment (words) or settled (n > 0 words to remove).
 SEGMENTS = "key long, words binary, doc long, mark long, pos long, n long"
 
 
-def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndarray], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``SEGMENTS`` from rows (id, mark, text)."""
+def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SEGMENTS`` from rows (id, mark, text); bitmaps mark recurring seeds and
+    those in many places."""
     bitmap, hot = marked
     for b in slices(batches, "text", SLICE_BYTES):
         ids, marks, texts = _named(b)
@@ -205,8 +199,8 @@ def segment_rows(batches: Iterator[pa.RecordBatch], marked: tuple[bytes, np.ndar
             continue
         key, text, at = w.seed[hit], w.doc[hit], w.at[hit]
         begin = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)]
-        if len(hot):
-            busy = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        busy = in_bitmap(hot, key)
+        if busy.any():
             key = np.where(busy, w.hashes()[hit], key)
             begin |= busy
         starts = np.flatnonzero(begin)
@@ -382,7 +376,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"`{text_col}` AS text").withColumn("mark", F.xxhash64("text"))
     seeds = materialise(recurring_seeds(rows, window))
-    marked = spark.sparkContext.broadcast((bitmap_of(seeds, "seed", bitmap_bits), hot_seeds(seeds, hot_places, HOT_SEEDS)))
+    marked = spark.sparkContext.broadcast((bitmap_of(seeds, "seed", bitmap_bits), bitmap_of(seeds.where(F.col("places") > hot_places), "seed", bitmap_bits)))
     spans = spans_of(segments(rows, marked, window), window, shard_bytes)
     # rows that repeat a text under one id share its spans
     grouped = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
