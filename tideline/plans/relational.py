@@ -13,8 +13,9 @@ from .base import DAILY_SQL, GRID_SQL, PANEL_SQL, SHIPPED_SQL, daily, grid, pane
 ROLLUP = "mean median std min max range cv month_return trend_per_day late_minus_early abs_daily_move_mean abs_daily_move_max intraday_spread_mean".split()
 
 
-@query(
-    f"""WITH {DAILY_SQL},
+def rollup_sql(daily_sql: str) -> str:
+    """The monthly statistics of ``daily`` (series, date, close, high, low)."""
+    return f"""WITH {daily_sql},
 r AS (SELECT *, CAST(date_trunc('month', date) AS DATE) AS month,
     row_number() OVER w - 1 AS i, lag(close) OVER w AS p, (high - low) / nullif(close, 0) AS s
   FROM daily WINDOW w AS (PARTITION BY series, date_trunc('month', date) ORDER BY date)),
@@ -29,10 +30,16 @@ SELECT series, month, avg(close) AS shipping_mean, median(close) AS shipping_med
   coalesce(avg(abs(ret)), 0) AS shipping_abs_daily_move_mean, coalesce(max(abs(ret)), 0) AS shipping_abs_daily_move_max,
   count(*) FILTER (ret >= 0.03) AS shipping_extreme_up_days, count(*) FILTER (ret <= -0.03) AS shipping_extreme_down_days,
   avg(coalesce(s, 0)) AS shipping_intraday_spread_mean, count(*) AS shipping_trading_days
-FROM m GROUP BY series, month""",
-    exact="series month shipping_extreme_up_days shipping_extreme_down_days shipping_trading_days",
-    doubles=" ".join(f"shipping_{n}" for n in ROLLUP),
-)
+FROM m GROUP BY series, month"""
+
+
+ROLLUP_OUT = {
+    "exact": "series month shipping_extreme_up_days shipping_extreme_down_days shipping_trading_days",
+    "doubles": " ".join(f"shipping_{n}" for n in ROLLUP),
+}
+
+
+@query(rollup_sql(DAILY_SQL), **ROLLUP_OUT)
 def daily_to_monthly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.daily_to_monthly(daily(spark, sf_dir), ["series"])
 
@@ -220,3 +227,18 @@ def daily_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.daily import daily_bars
 
     return daily_bars(sources.table(spark, sf_dir, "events"), ["event_type"], "ts", "value")
+
+
+@query(rollup_sql("daily AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, avg(value) AS close, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2)"), **ROLLUP_OUT)
+def monthly_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events as a stream: what there is runs through the upsert of monthly
+    figures, which are read back."""
+    from ..sources.storage import shared_dir
+    from ..streaming.monthly import MonthlyTable
+
+    events = sources.table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    root = shared_dir(spark, "monthly")
+    kept = MonthlyTable(spark, root, ["series"], "ts", "value", prefix="shipping")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("event_type", "series")
+    kept.run(stream, f"{root}/checkpoint").awaitTermination()
+    return kept.read()
