@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -80,9 +82,26 @@ def free_names(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+_TASK_TABLES: list[Callable] = []
+
+
+def task_table(make: Callable) -> Callable:
+    """``make`` with its results kept by a worker until the end of the task, see
+    :func:`release`: a table of words met is full within a task and helps the next one
+    little, but would stand beside all later stages."""
+    kept = cache(make)
+    _TASK_TABLES.append(kept)
+    return kept
+
+
 def release() -> None:
-    """Give freed memory back to the system: Python workers live on between tasks, two or
-    more of them beside an executor's heap."""
+    """Drop the task's tables and give freed memory back to the system: Python workers
+    live on between tasks, two or more of them beside an executor's heap."""
+    filled = [t for t in _TASK_TABLES if t.cache_info().currsize]
+    for t in filled:
+        t.cache_clear()
+    if filled:
+        gc.collect()  # tables and what fills them refer to each other
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim is not None:

@@ -54,12 +54,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     """(doc, piece, start, length, ids_crc32): the documents' pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = word_ids(tokenizer)
         end = b"\0\0\0\0"
         for b in slices(batches, "text", 4 << 20):
             out: list[tuple] = []
             for doc, text in zip(b.column("id").to_pylist(), utf8(b.column("text")), strict=True):
-                ids = table_.ids(text) + end
+                ids = word_ids(tokenizer).ids(text) + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))

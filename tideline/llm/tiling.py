@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -40,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap_of, free_names, in_bitmap, materialise, sieved, slices, table, texts
+from .common import BITMAP_BITS, bitmap_of, free_names, in_bitmap, materialise, sieved, slices, table, task_table, texts
 from .tokens import Recent
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
 SLICE_BYTES = 2 << 20
-#: Words of a generation of which a worker keeps the hashes.
+#: Words of a generation of which a task keeps the hashes.
 KEPT_WORDS = 100_000
 
 _TOKENS = re.compile(r"[^\W_]+")
@@ -57,7 +56,7 @@ def tokens(text: str) -> list[str]:
     return _TOKENS.findall(text.lower())
 
 
-@cache
+@task_table
 def word_hashes() -> Recent:
     from xxhash import xxh64_intdigest
 

@@ -2,16 +2,17 @@
 
 White space separates what the tokenizer treats apart (its splitting pattern never
 spans it, and neither normal form nor lower-casing looks across it), so the ids of
-a text are those of its words in a row. A worker keeps the ids of words it has
+a text are those of its words in a row. A task keeps the ids of words it has
 met in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import struct
-from functools import cache
 
-#: Words of a generation of which a worker keeps the ids (two generations are kept).
+from .common import task_table
+
+#: Words of a generation of which a task keeps the ids (two generations are kept).
 KEPT_WORDS = 300_000
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -90,6 +91,6 @@ class WordIds:
         return b"".join(map(self._words.__getitem__, text.split()))
 
 
-@cache
+@task_table
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
