@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import sys
 from collections import Counter
 from zlib import crc32
 
@@ -120,6 +121,46 @@ def test_keys_stay_small(spark):
     assert sizes.agg({"count": "max"}).first()[0] in (None, *range(51))
 
 
+def test_a_row_says_held_and_asked(spark):
+    """Keys of a word's own length are held and asked for by one row: a word sends four
+    rows at first, and counts twice for how many rows its own keys have."""
+    rows = [("".join(x), 2) for x in itertools.product("abcd", "efgh", "ijkl", "mnop")]
+    df = spark.createDataFrame([(w[0] * 5 + w + w[::-1], n) for w, n in rows], "word string, n long")
+    assert variants.keyed(df, hot_rows=10_000).count() == 4 * df.count()
+    one = spark.createDataFrame([("a" * 20 + x * 20, 2) for x in "bcde"], "word string, n long")
+    first = "p = 20 AND s = 0"  # of length 40 (8 rows: 4 hold, 4 ask)
+    assert variants.keyed(one, hot_rows=8).where(f"{first} AND la = 40").count() == 4
+    assert variants.keyed(one, hot_rows=7).where(f"{first} AND la = 40").count() == 0
+
+
+def test_scan_looks_at_fitting_lengths_only():
+    """What one hit costs does not grow with the words of other lengths that hold its
+    segment, nor with its other places."""
+
+    def lines(lengths: range) -> int:
+        shard = variants.Shard()
+        for la in lengths:
+            shard.hold("abc" + "x" * (la - 3), 1, la, 3, 0, 0, 3)
+            shard.hold("x" * (la - 3) + "abc", 1, la, 0, 3, 1, 3)
+        list(shard.near("abc" + "y" * 17))  # makes the automaton
+        seen = 0
+
+        def trace(frame, event, arg):
+            nonlocal seen
+            seen += event == "line"
+            return trace
+
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            list(shard.near("abc" + "x" * 16 + "y"))
+        finally:
+            sys.settrace(before)
+        return seen
+
+    assert lines(range(10, 400)) == lines(range(19, 21)) > 0
+
+
 def test_odd_rows(spark):
     rows = [(1, "Straße straße STRASSE naïveté NAÏVETÉ"), (1, "Straße straße STRASSE naïveté NAÏVETÉ"), (None, "naïveté naïvetés x"), (2, None), (3, ""), (4, "naïvetés " * 50_000 + "q" * 2_000_000 + " " + "q" * 2_000_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS word", "1 AS n", "2 AS id", "3 AS key", "4 AS shard")

@@ -8,17 +8,19 @@ the other half stands unchanged in the longer word, at its begin or at its end.
    frequent word sends one row for each task. A run that its checksum picks loses one
    letter first, which makes variants of known origin.
 2. Keys. A word holds two keys, one for each half (length, place, letters); and it asks
-   for the keys of the words of its own length and of one letter less, whose halves it
-   would contain at the right place. Keys with more than ``HOT_ROWS`` rows (a common
-   beginning) cut what is left of the word into halves again, as often as it takes: so a
-   beginning that a third of all words share is dealt by what follows. Which keys these
-   are a bitmap of fixed size tells; a false hit cuts a key that needn't be cut, for the
-   words that hold it and those that ask for it alike.
+   for the keys of the words of its own length, which are those that it holds (one row
+   says both), and of one letter less, whose halves it would contain at the right place.
+   Keys with more than ``HOT_ROWS`` rows (a common beginning) cut what is left of the word
+   into halves again, as often as it takes: so a beginning that a third of all words share
+   is dealt by what follows. Which keys these are a bitmap of fixed size tells; a false hit
+   cuts a key that needn't be cut, for the words that hold it and those that ask for it
+   alike.
 3. Automata. Keys are dealt to shards. In each shard the held segments make one
    Aho-Corasick automaton, and all words that ask for one of its keys are scanned. A hit
-   counts if the segment stands at its offset, the lengths are compatible and the other
-   known part (of a key cut again) is equal; then the distance is verified. Each pair is
-   told at one of its keys only: the first half, if that is unchanged, and so on.
+   counts if the segment stands at its offset and the lengths are compatible (segments
+   list what is held by scanned length and place of the hit) and the other known part (of
+   a key cut again) is equal; then the distance is verified. Each pair is told at one of
+   its keys only: the first half, if that is unchanged, and so on.
 4. Forms. A word's form is its most frequent near word (ties: the first in code-point
    order) if that is ten times as frequent; roots follow forms by pointer doubling.
 
@@ -29,6 +31,7 @@ are ignored."""
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -45,10 +48,13 @@ MIN_LENGTH, MIN_COUNT = 7, 2
 ALTERED = 31
 #: A form is so many times as frequent as its word.
 RATIO = 10
-#: Rows of a key beyond which it is cut again, as long as three letters or more are left.
+#: Rows of a key (a word that holds it and asks for it counts twice) beyond which it is
+#: cut again, as long as three letters or more are left.
 HOT_ROWS = 128
 #: Letters of the words that one shard holds, and of a segment that its automaton keeps.
 SHARD_CHARS, ANCHOR = 1 << 20, 64
+#: Pairs that a task tells at a time.
+TOLD = 20_000
 #: Different words that a task counts before it sends them.
 COUNTED = 300_000
 BITMAP_BITS = 26
@@ -103,20 +109,21 @@ def halved(rows: DataFrame) -> DataFrame:
     """Both keys that cut what the states of ``rows`` leave open."""
     first, second = "(la - p - s) div 2", "la - p - s - (la - p - s) div 2"
     cuts = f"inline(array(struct(0 AS side1, p + {first} AS p1, s AS s1, {first} AS seg1), struct(1 AS side1, p AS p1, s + {second} AS s1, {second} AS seg1)))"
-    named = rows.selectExpr("word", "n", "asks", "la", cuts)
-    return named.selectExpr("word", "n", "asks", "la", "cast(p1 AS int) AS p", "cast(s1 AS int) AS s", "side1 AS side", "cast(seg1 AS int) AS seg").withColumn("key", F.expr(KEY))
+    named = rows.selectExpr("word", "n", "la", cuts)
+    return named.selectExpr("word", "n", "la", "cast(p1 AS int) AS p", "cast(s1 AS int) AS s", "side1 AS side", "cast(seg1 AS int) AS seg").withColumn("key", F.expr(KEY))
 
 
 def keyed(words: DataFrame, min_length: int = MIN_LENGTH, hot_rows: int = HOT_ROWS, bits: int = BITMAP_BITS) -> DataFrame:
-    """(word, n, asks, la, p, s, side, seg, key): the keys that words hold and ask for,
-    cut so far that no key has more than ``hot_rows`` rows or more than two letters open."""
+    """(word, n, la, p, s, side, seg, key): the keys that words hold and ask for (those of
+    their own length) or only ask for (of one letter less), cut so far that no key has more
+    than ``hot_rows`` rows or more than two letters open."""
     spark = words.sparkSession
-    lengths = "inline(array(struct(false AS asks, length(word) AS la), struct(true AS asks, length(word) AS la), struct(true AS asks, length(word) - 1 AS la)))"
+    lengths = "explode(array(length(word), length(word) - 1)) AS la"
     level = halved(words.selectExpr("word", "n", lengths).where(F.col("la") >= min_length).selectExpr("*", "0 AS p", "0 AS s"))
     done = None
     while True:
         level = materialise(level)
-        sizes = level.where("la - p - s > 2").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
+        sizes = level.where("la - p - s > 2").groupBy("key").agg(F.sum(F.expr("if(la = length(word), 2, 1)")).alias("rows")).where(F.col("rows") > hot_rows)
         hot = materialise(sizes.select("key"))
         if hot.isEmpty():
             return level if done is None else done.unionByName(level)
@@ -130,15 +137,17 @@ def keyed(words: DataFrame, min_length: int = MIN_LENGTH, hot_rows: int = HOT_RO
 # -- automata -------------------------------------------------------------------------------
 
 
-def first_difference(a: str, b: str) -> int:
-    """How many letters a and b (as long as a, or longer) share before they differ."""
-    if b.startswith(a):
-        return len(a)
-    lo, hi = 0, len(a)
-    while hi - lo > 64:
-        middle = (lo + hi) // 2
-        lo, hi = (middle, hi) if a[lo:middle] == b[lo:middle] else (lo, middle)
-    while a[lo] == b[lo]:
+def first_difference(a: str, b: str, lo: int = 0) -> int:
+    """How many letters a and b (as long as a, or longer) share before they differ, at
+    least ``lo``."""
+    if len(a) - lo > 64:
+        if b.startswith(a):
+            return len(a)
+        hi = len(a)
+        while hi - lo > 64:
+            middle = (lo + hi) // 2
+            lo, hi = (middle, hi) if a[lo:middle] == b[lo:middle] else (lo, middle)
+    while lo < len(a) and a[lo] == b[lo]:
         lo += 1
     return lo
 
@@ -154,6 +163,10 @@ def by_first_halves(la: int, same: int, p: int, s: int) -> bool:
     return (x, y) == (p, s)
 
 
+#: The words that hold a state, by the letters that it fixes.
+Groups = dict[tuple[str, str], list[tuple[str, int]]]
+
+
 class Shard:
     """An automaton of segments, and the words that hold them by state and known parts."""
 
@@ -161,36 +174,45 @@ class Shard:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.held: dict[str, dict[tuple[int, ...], dict[tuple[str, str], list[tuple[str, int]]]]] = {}
+        self.states: dict[tuple[str, int, int, int, int], Groups] = {}
+        #: By segment, length of a scanned word and end of the hit in it: what is held there.
+        self.places: dict[str, dict[tuple[int, int], list[tuple[int, int, int, Groups]]]] = {}
         self.made = False
 
     def hold(self, word: str, n: int, la: int, p: int, s: int, side: int, seg: int) -> None:
-        segment = word[p - seg : p] if side == 0 else word[la - s : la - s + seg]
-        states = self.held.setdefault(segment[:ANCHOR], {})
-        states.setdefault((la, p, s, side, seg), {}).setdefault((word[:p], word[la - s :]), []).append((word, n))
+        begin = p - seg if side == 0 else la - s
+        segment = word[begin : begin + min(seg, ANCHOR)]
+        groups = self.states.get((segment, la, p, s, side))
+        if groups is None:
+            groups = self.states[segment, la, p, s, side] = {}
+            places = self.places.setdefault(segment, {})
+            for longer in (0, 1):  # a last part begins a letter later in a longer word
+                end = begin + len(segment) - 1 + (longer if side else 0)
+                places.setdefault((la + longer, end), []).append((la, p, s, groups))
+        groups.setdefault((word[:p], word[la - s :]), []).append((word, n))
+
+    def make(self) -> None:
+        for segment, places in self.places.items():
+            self.automaton.add_word(segment, places)
+        self.automaton.make_automaton()
+        self.made = True
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """Words held here that are one edit away, as long as ``word`` and before it in
         order or one letter shorter."""
         if not self.made:
-            for segment, states in self.held.items():
-                self.automaton.add_word(segment, (len(segment), states))
-            self.automaton.make_automaton()
-            self.made = True
-        if not self.held:
+            self.make()
+        if not self.places:
             return
         length = len(word)
-        for end, (size, states) in self.automaton.iter(word):
-            begin = end - size + 1
-            for (la, p, s, side, seg), groups in states.items():
-                if begin != (p - seg if side == 0 else length - s) or not la <= length <= la + 1:
-                    continue
+        for end, places in self.automaton.iter(word):
+            for la, p, s, groups in places.get((length, end), ()):
+                equal = la == length
                 for other, n in groups.get((word[:p], word[length - s :]), ()):
-                    if la == length and other >= word:
+                    if equal and other >= word:
                         continue
-                    same = first_difference(other, word)
-                    rest = same + 1 if la == length else same
-                    if other[rest:] == word[same + 1 :] and by_first_halves(la, same, p, s):
+                    same = first_difference(other, word, p)
+                    if other[same + equal :] == word[same + 1 :] and by_first_halves(la, same, p, s):
                         yield other, n
 
 
@@ -201,24 +223,26 @@ def near_pairs(words: DataFrame, min_length: int = MIN_LENGTH, hot_rows: int = H
     chars = words.agg(F.sum(F.length("word"))).first()[0] or 0
     shards = max(-(-2 * chars // shard_chars), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def told(shard: Shard, asked: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        pairs = ((other, m, word, n) for word, n in asked.items() for other, m in shard.near(word))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+        while some := list(itertools.islice(pairs, TOLD)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["a", "a_n", "b", "b_n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard, last = None, Shard(), None
+        held, shard, asked = None, Shard(), {}  # a word asks a shard once
         for b in batches:
-            out: list[tuple[str, int, str, int]] = []
-            for at, asks, word, n, *state in zip(*[b.column(c).to_pylist() for c in ("shard", "asks", "word", "n", *STATE)], strict=True):
+            for at, word, n, la, *state in zip(*[b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("shard", "word", "n", *STATE)], strict=True):
                 if at != held:
-                    held, shard, last = at, Shard(), None
-                if not asks:
-                    shard.hold(word, n, *state)
-                elif word != last:  # a word asks a shard once
-                    last = word
-                    out += [(other, m, word, n) for other, m in shard.near(word)]
-            if out:
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "a_n", "b", "b_n"])
+                    yield from told(shard, asked)
+                    held, shard, asked = at, Shard(), {}
+                asked[word] = n
+                if len(word) == la:
+                    shard.hold(word, n, la, *state)
+        yield from told(shard, asked)
 
     dealt = rows.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "asks", "word").mapInArrow(run, "a string, a_n long, b string, b_n long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a string, a_n long, b string, b_n long")
 
 
 # -- forms ----------------------------------------------------------------------------------
